@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quantpanel.llm.common import NO_ID, cut, mix64
+from quantpanel.session import ship_package
 
 INDEX_SCHEMA = "shard int, sizes binary, bits binary, fingerprint binary, count binary, keeper binary"
 GAMMA = 2.0  # slots a key at each level of the minimal perfect hash
@@ -113,6 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result. Other columns stay; columns named n_lines or n_dropped are replaced.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashes = source.mapInArrow(partial(_hashes, min_chars=min_chars), "h0 long, h1 long, id long")
     seen = Observation()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quantpanel.llm.common import cut, slices
 from quantpanel.llm.tokens import word_encoder
+from quantpanel.session import ship_package
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The special token of the vocabulary that the encoder may put between pieces.
@@ -216,6 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     a hash of id and piece, then by id and piece, never by chance (rows alike in everything may swap).
     """
     spark = docs.sparkSession
+    ship_package(spark)
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table = spark.createDataFrame(segments(bin_completion(counts, capacity)), "length long, lo long, hi long, first long, per long, at long")

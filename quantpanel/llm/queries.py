@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantpanel.llm import exact_dedup, line_dedup, packing
+from quantpanel.llm import exact_dedup, language_id, line_dedup, ngram_join, packing
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns only where crc32 of the id as text is not divisible by 5; lang, source and doc_id are no inputs of a prediction."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -59,6 +71,6 @@ FROM n
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op9_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op6_language_id, op9_line_dedup, op10_exact_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
