@@ -34,7 +34,7 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
     except Exception:  # noqa: BLE001  the session may be gone by then
@@ -49,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantpanel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove_at_exit, spark, path)
+    atexit.register(remove_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantpanel.llm import exact_dedup, language_id, line_dedup, ngram_join, packing
+from quantpanel.llm import bm25, chat, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, sentencepiece_backend, shards
+from quantpanel.llm.common import shared_dir
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+ARRIVALS = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,53 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op3_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 20, whole; against all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in four lots, are compacted and read back from the last manifest."""
+    docs = _table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for lot in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS)) == lot))
+        store.compact()
+        store.vacuum()
+    atexit.register(shards.remove_store, store)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, floor(turn / 64.0) AS block,
+         replace(replace(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), chr(10), ' '), chr(13), ' ') AS r,
+         replace(coalesce(text, ''), '<|im_', '< |im_') AS x FROM conversations),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, r, x) - 1 AS n FROM turns),
+speakers AS (SELECT DISTINCT conv_id, r AS speaker FROM turns WHERE r <> 'system'),
+pieces AS (
+  SELECT t.conv_id, s.speaker, t.block, floor(t.n / 64.0) AS sub, t.n, t.r = s.speaker AS own, t.x,
+         '<|im_start|>' || CASE WHEN t.r = 'system' THEN 'system' WHEN t.r = s.speaker THEN 'assistant' ELSE 'user name=' || t.r END || chr(10) AS head
+  FROM numbered t JOIN speakers s ON t.conv_id = s.conv_id),
+placed AS (
+  SELECT *, head || x || '<|im_end|>' || chr(10) AS whole,
+         sum(length(head) + length(x) + 11) OVER (PARTITION BY conv_id, speaker, block, sub ORDER BY n) - 11 AS stop FROM pieces)
+SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY block, sub) - 1 AS part, count(*) AS n_turns,
+       string_agg(whole, '' ORDER BY n) AS text,
+       coalesce(string_agg((stop - length(x)) || '-' || stop, ',' ORDER BY n) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, block, sub
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns only where crc32 of the id as text is not divisible by 5; lang, source and doc_id are no inputs of a prediction."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -33,6 +84,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every document and decodes the ids again."""
+    return sentencepiece_backend.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -71,6 +131,18 @@ FROM n
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op6_language_id, op9_line_dedup, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_ngram_jaccard_join,
+        op3_exact_topk_search,
+        op4_sharding,
+        op5_chat_formatting,
+        op6_language_id,
+        op7_sentencepiece,
+        op8_html_extraction,
+        op9_line_dedup,
+        op10_exact_dedup,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
