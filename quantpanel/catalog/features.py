@@ -74,7 +74,7 @@ windowed(
 )
 windowed("price_ratio", {"price_ratio": [21]}, {"momentum_21": 6, "reversal_21": 6}, {"before": q.lag("px_last", 21)}, {"momentum_21": "before / nullif(px_last, 0)", "reversal_21": "px_last / nullif(before, 0)"})
 _ACC = [(10, 20), (10, 40), (10, 60), (20, 40), (20, 60), (40, 60)]
-windowed("volume_acceleration", {"acceleration_rate": True}, {f"vol_acc_{a}_{b}": 6 for a, b in _ACC}, {f"v{n}": q.avg(n, "px_volume") for n in (10, 20, 40, 60)}, {f"vol_acc_{a}_{b}": f"v{a} / nullif(v{b}, 0)" for a, b in _ACC})
+windowed("volume_acceleration", {"acceleration_rate": True}, {f"vol_acc_{a}_{b}": 10 for a, b in _ACC}, {f"v{n}": q.avg(n, "px_volume") for n in (10, 20, 40, 60)}, {f"vol_acc_{a}_{b}": f"v{a} / nullif(v{b}, 0)" for a, b in _ACC})
 
 # ------------------------------------------------------------------ recursive
 
@@ -140,9 +140,9 @@ def stats(name: str, arguments: dict, digits: dict[str, int | None], *stages: di
 
 L50 = {"l": q.full(50, "list({})", "px_last"), "m": q.avg(50, "px_last")}
 _READY = f"count(px_last) {q.frame(50)} = 50"
-stats("mean_change", {"mean_change": True}, {"mean_change": 5}, {"mean_change": f"CASE WHEN {_READY} THEN (px_last - {q.lag('px_last', 49)}) / 49 END"})
+stats("mean_change", {"mean_change": True}, {"mean_change": 9}, {"mean_change": f"CASE WHEN {_READY} THEN (px_last - {q.lag('px_last', 49)}) / 49 END"})
 stats("mean_abs_change", {"mean_abs_change": True}, {"mean_abs_change": 4}, DELTA, {"a": "abs(d)"}, {"mean_abs_change": q.avg(49, "a")})
-stats("mean_second_derivative", {"mean_second_derivative_central": True}, {"mean_second_derivative_central": 8}, {"mean_second_derivative_central": f"CASE WHEN {_READY} THEN (px_last - {q.lag('px_last', 1)} - {q.lag('px_last', 48)} + {q.lag('px_last', 49)}) / 96 END"})
+stats("mean_second_derivative", {"mean_second_derivative_central": True}, {"mean_second_derivative_central": 11}, {"mean_second_derivative_central": f"CASE WHEN {_READY} THEN (px_last - {q.lag('px_last', 1)} - {q.lag('px_last', 48)} + {q.lag('px_last', 49)}) / 96 END"})
 stats("cid_ce", {"cid_ce": True}, {"cid_ce": 3}, DELTA, {"sq": "d * d"}, {"cid_ce": f"sqrt({q.total(49, 'sq')})"})
 stats("time_reversal_asymmetry", {"time_reversal_asymmetry_statistic": True}, {"time_reversal_asymmetry_statistic": -3}, {"t": f"px_last * px_last * {q.lag('px_last', 2)} - pow({q.lag('px_last', 1)}, 2)"}, {"time_reversal_asymmetry_statistic": f"CASE WHEN {_READY} THEN {q.avg(48, 't')} END"})
 stats("energy_ratio", {"energy_ratio_chunks": True}, {"energy_ratio_by_chunks": 6}, {"sq": "px_last * px_last"}, {"energy_ratio_by_chunks": f"({q.total(25, 'sq', 25)}) / nullif({q.total(50, 'sq')}, 0)"})
@@ -184,7 +184,7 @@ def ratio(name: str, expression: str, digits: int = 6, *stages: dict[str, str])
 
 
 _EQUITY = "(bs_tot_asset - bs_total_liabilities)"
-ratio("pe_ratio", "CASE WHEN is_eps > 0 THEN px_last / is_eps END", 6)
+ratio("pe_ratio", "CASE WHEN is_eps > 0 THEN px_last / is_eps END", 9)
 ratio("earnings_yield", "is_eps / nullif(px_last, 0)")
 ratio("debt_to_assets", "bs_total_liabilities / nullif(bs_tot_asset, 0)")
 ratio("debt_to_capital", f"bs_total_liabilities / nullif(bs_total_liabilities + {_EQUITY}, 0)")
@@ -195,6 +195,6 @@ ratio("operating_efficiency", "oper_margin * sales_growth")
 ratio("levered_roa", "return_on_asset * (1 + coalesce(tot_debt_to_tot_eqy, 0))")
 ratio("eps_growth", "CASE WHEN before > 0 THEN (is_eps - before) / before END", 4, {"before": q.lag("is_eps")})
 _add(
-    "pe_band", fundamental, {"pe_band": ([60], [25, 75])}, {"pe_band_60_25": 7, "pe_band_60_75": 7},
-    q.select([{"pe": "CASE WHEN is_eps > 0 THEN px_last / is_eps END"}, {f"pe_band_60_{p}": f"quantile_cont(pe, {p / 100}) {q.frame(60)}" for p in (25, 75)}], {"pe_band_60_25": 7, "pe_band_60_75": 7}),
+    "pe_band", fundamental, {"pe_band": ([60], [25, 75])}, {"pe_band_60_25": 9, "pe_band_60_75": 9},
+    q.select([{"pe": "CASE WHEN is_eps > 0 THEN px_last / is_eps END"}, {f"pe_band_60_{p}": f"quantile_cont(pe, {p / 100}) {q.frame(60)}" for p in (25, 75)}], {"pe_band_60_25": 9, "pe_band_60_75": 9}),
 )
