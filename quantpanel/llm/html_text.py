@@ -229,7 +229,7 @@ def main_text(page: str | None) -> str:
         elif not left:
             final.append(right)
         else:
-            final.append(left if near_left <= near_right else right)
+            final.append("good" if near_left == near_right else left if near_left < near_right else right)
     return "\n\n".join(b.text for b, label in zip(blocks, final, strict=True) if label == "good")
 
 
