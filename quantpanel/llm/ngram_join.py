@@ -5,13 +5,18 @@ Plan.
 2. Routing, exact: sets of sizes a, b with Jaccard >= t differ in at most D = (a + b)(1 - t) / (1 + t) shingles. For each range of
    sizes the hash space is cut into k > D parts; two linked sets agree wholly on at least one part. So each set sends one key a part,
    and sets that share no key cannot be linked. Some spare parts allow for parts that are empty, which need not be sent then.
+   Shingles of common passages would make keys that many unlike sets share. As two linked sets differ in at most D shingles
+   within any fixed part of the universe, a set that has enough other shingles is cut into parts without the common ones; sets
+   near or below that limit send the keys of all their shingles (too), so two linked sets always meet in one of the two ways.
    Inside a batch, equal keys are collapsed before the shuffle, so a group of copies sends few rows. Sets that share keys form
    candidate clusters (connected components of shared keys).
 3. Join: each cluster is gathered once and joined by a signature tree: nodes hold OR-combined token bitmaps, size ranges
    and the largest number of bitmap collisions. A dual traversal prunes pairs of nodes by the largest overlap possible between
-   them, and pairs of nodes that already are one component; what remains is compared exactly. A cluster too large for a task is cut
-   into blocks: blocks are joined first, then the representatives of what they found, then, for clusters that still are in several
-   components, all pairs of blocks. So nothing is lost and copies do not meet pairwise.
+   them, and pairs of nodes that already are one component; what remains is compared exactly. Before that, a few central sets
+   (those of the most shared shingles) are compared with all others, as copies usually are near one original and not near each
+   other. A cluster too large for a task is cut into blocks by hash: each block nominates central sets; the best of the cluster go
+   to every block, which is then joined; and where a cluster still is in several components, all pairs of blocks are joined, known
+   components costing nothing. So nothing is lost and copies do not meet pairwise.
 4. The links found (a forest a task) give the components; members of equal sets follow their class.
 """
 
@@ -25,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantpanel.llm.common import cut, mix64, slices, union_find
@@ -35,8 +40,14 @@ from quantpanel.session import ship_package
 #: Odd 64-bit multipliers for the words of a shingle, from a rule.
 FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 #: A task joins about so many sets or code points of a cluster at once.
-BLOCK_ROWS, BLOCK_CHARS = 4_000, 24_000_000
+BLOCK_ROWS, BLOCK_CHARS = 4_000, 12_000_000
 LEAF = 8
+#: Central sets tried in a block, and those that all blocks of a large cluster get.
+CENTRES, SHARED_CENTRES = 8, 16
+#: Common shingles: found where HEAVY_BATCH sets of a batch share one, the HEAVY_KEPT most common of them, as flags of slots. A hint
+#: for routing of bounded size; any set of flags gives the same result.
+HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS = 3, 400_000, 1 << 23
+RICH = 1.5  # shingles a part that are not common, for a set to be cut without the common ones
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -62,68 +73,95 @@ def size_classes(percent: int, largest: int) -> tuple[int, ...]:
 
 
 @cache
-def parts_of(percent: int, low: int, high: int) -> tuple[int, int]:
-    """(parts, spare) for pairs whose smaller set has a size in low..high-1; (0, 0) where only equal sets can be linked."""
+def parts_of(percent: int, low: int, high: int, sparse: bool) -> tuple[int, int, int]:
+    """(parts, spare, most differences) for pairs whose smaller set has a size in low..high-1; no parts where only equal sets link."""
     a = high - 1
     differ = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
     if not differ:
-        return 0, 0
+        return 0, 0, 0
     k = differ + 1
-    spare = 1 + math.ceil(2 * k * math.exp(-low / k))
-    return k + spare, spare
+    spare = 1 + math.ceil(2 * k * math.exp(-RICH if sparse else -low / k))
+    return k + spare, spare, differ
 
 
-def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
+def _part_keys(tokens: np.ndarray, k: int, spare: int, name: int) -> np.ndarray:
+    """A key for each part of the hash space that holds tokens, and for the empty ones if there are more of these than spare."""
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens), dtype=np.uint64)])
+    edges = np.searchsorted(tokens, ((np.arange(k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)) << np.uint64(32))
+    edges = np.append(edges, len(tokens))
+    full = np.flatnonzero(np.diff(edges))
+    if k - len(full) > spare:
+        full = np.arange(k)
+    sums = running[edges[full + 1]] - running[edges[full]]
+    own_name = np.uint64(name * int(FACTORS[41]) % 2**64)
+    return mix64(sums * FACTORS[40] + own_name + full.astype(np.uint64) * FACTORS[42])
+
+
+def keys_of(tokens: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """The routing keys of a set: of the scheme of its own size class and of the class below."""
     n = len(tokens)
     bounds = size_classes(percent, max(64, 1 << n.bit_length()))
     own = int(np.searchsorted(bounds, n, "right")) - 1
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens), dtype=np.uint64)])
+    light = tokens if heavy is None else tokens[~heavy[(tokens % np.uint64(HEAVY_SLOTS)).astype(np.int64)]]
     out = []
     for scheme in (own - 1, own):
         if scheme < 0:
             continue
-        k, spare = parts_of(percent, bounds[scheme], bounds[scheme + 1])
+        k, spare, differ = parts_of(percent, bounds[scheme], bounds[scheme + 1], True)
         if not k:
             continue
-        edges = np.searchsorted(tokens, ((np.arange(k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)) << np.uint64(32))
-        edges = np.append(edges, n)
-        full = np.flatnonzero(np.diff(edges))
-        if k - len(full) > spare:
-            full = np.arange(k)
-        sums = running[edges[full + 1]] - running[edges[full]]
-        own_name = np.uint64(scheme * int(FACTORS[41]) % 2**64)
-        out.append(mix64(sums * FACTORS[40] + own_name + full.astype(np.uint64) * FACTORS[42]))
+        enough = int(RICH * k)
+        if len(light) >= enough:
+            out.append(_part_keys(light, k, spare, 2 * scheme))
+        if len(light) < enough + differ:
+            k, spare, _ = parts_of(percent, bounds[scheme], bounds[scheme + 1], False)
+            out.append(_part_keys(tokens, k, spare, 2 * scheme + 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 # ------------------------------------------------------------------ passes over the documents
 
 
-def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = shingles(text, n)
-            both = int(mix64(tokens).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(tokens + FACTORS[50]))) if len(tokens) else 0
-            rows.append((doc, len(tokens), *(x - 2**64 if x >= 2**63 else x for x in both)))
-        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "s0", "s1"])
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
-def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Of each document (id, n, s0, s1, doc true); of each shingle that several sets of a batch share (null, sets, shingle, 0, false)."""
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, j in slices([len(t or "") for t in texts], 16_000_000):
-            found, nodes, known, ties = [], [], {}, []
+            rows, every = [], []
+            for doc, text in zip(docs[i:j], texts[i:j], strict=True):
+                tokens = shingles(text, n)
+                both = (int(mix64(tokens).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(tokens + FACTORS[50])))) if len(tokens) else (0, 0)
+                rows.append((doc, len(tokens), _signed(both[0]), _signed(both[1])))
+                every.append(tokens)
+            shared, times = np.unique(np.concatenate(every), return_counts=True)
+            common = times >= HEAVY_BATCH
+            shared, times = shared[common].view(np.int64), times[common]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(rows))], ["id", "n", "s0", "s1", "doc"])
+            for at in range(0, len(shared), 100_000):
+                part, count = shared[at : at + 100_000], times[at : at + 100_000].astype("i8")
+                zeros = pa.array(np.zeros(len(part), "i8"))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(count), pa.array(part), zeros, pa.array([False] * len(part))], ["id", "n", "s0", "s1", "doc"])
+
+
+def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits) -> Iterator[pa.RecordBatch]:
+    heavy = np.unpackbits(np.frombuffer(heavy_bits.value, np.uint8)).astype(bool)
+    for batch in batches:
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, j in slices([len(t or "") for t in texts], 16_000_000):
+            found, nodes, known = [], [], {}
             for doc, text in zip(docs[i:j], texts[i:j], strict=True):
                 tokens = shingles(text, n)
                 if doc is None or not len(tokens):
                     continue
-                first = known.setdefault(tokens.tobytes() if len(tokens) < 64 else xxhash.xxh3_128_digest(tokens), doc)
+                first = known.setdefault(xxhash.xxh3_128_digest(tokens), doc)
                 if first is not doc:
                     continue  # an equal set has sent its keys; equal sets are one class anyway
-                keys = keys_of(tokens, percent)
+                keys = keys_of(tokens, percent, heavy)
                 found.append(keys)
                 nodes.append(np.full(len(keys), doc, np.int64))
             if not found:
@@ -131,7 +169,7 @@ def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
             key, node = np.concatenate(found), np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
-            head = np.append(True, key[1:] != key[:-1])
+            head = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
             lead = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
             # within the batch, those that share a key meet under their first one's name instead
             ties = np.unique(np.stack([lead[~head], node[~head]], 1), axis=0)
@@ -174,16 +212,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SignatureTree:
-    """Over sets of tokens. Level 0 are the leaves' members; each node: OR of bitmaps, size range, largest number of collisions."""
+    """Over sets of tokens. Level 0 are the leaves' members; each node: OR of bitmaps, size range, largest number of collisions.
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    rank: sorts the sets before their least tokens do; known components first, so that whole nodes are one component.
+    """
+
+    def __init__(self, sets: list[np.ndarray], rank: list[int]) -> None:
         self.sets = sets
-        self.order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))  # similar sets have similar least tokens
-        bits = min(1 << 14, max(256, 1 << int(8 * np.median([len(s) for s in sets]) - 1).bit_length()))
-        flags = np.zeros((len(sets), bits), np.uint8)
+        self.order = sorted(range(len(sets)), key=lambda i: (rank[i], int(sets[i][0]), len(sets[i])))  # similar sets have similar least tokens
+        bits = min(1 << 16, max(1024, 1 << int(32 * np.median([len(s) for s in sets]) - 1).bit_length()))
+        own = np.zeros((len(sets), bits // 64), np.uint64)
         for row, i in enumerate(self.order):
-            flags[row, (sets[i] % np.uint64(bits)).astype(np.int64)] = 1
-        own = np.packbits(flags, axis=1).view(np.uint64)
+            at = sets[i] % np.uint64(bits)
+            np.bitwise_or.at(own[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         size = np.array([len(sets[i]) for i in self.order])
         extra = size - np.bitwise_count(own).sum(1)
         self.levels = [(own, size, size, extra)]
@@ -247,8 +288,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Exact overlaps of one set with all others, by numbered tokens."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        _, self.token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.shared = np.add.reduceat(times[self.token] - 1, self.start) / self.size  # how common a set's tokens are
+
+    def linked(self, i: int, percent: int) -> np.ndarray:
+        mark = np.zeros(self.token.max() + 1, bool)
+        mark[self.token[self.start[i] : self.start[i] + self.size[i]]] = True
+        both = np.add.reduceat(mark[self.token].astype(np.int64), self.start)
+        return np.flatnonzero(100 * both >= percent * (self.size + self.size[i] - both))
+
+
 def _link(rows: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
-    """The links of a block or of two, as a forest over ids. `known`: the component so far, so that known links cost nothing."""
+    """The links of a block or of two, as a forest over ids. `known`: the component so far, so that known links cost nothing;
+    `centre`: sets to compare with all others first."""
     ids = rows["id"].to_numpy()
     find, join = union_find(len(ids))
     seen: dict[int, int] = {}
@@ -258,7 +316,22 @@ def _link(rows: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
     sets = [shingles(t, n) for t in rows["text"]]
     kept = [i for i, s in enumerate(sets) if len(s)]
     if len(set(before)) > 1 and len(kept) > 1:
-        tree = SignatureTree([sets[i] for i in kept])
+        own = [sets[i] for i in kept]
+        if len(kept) > 2:
+            table, centre = Overlaps(own), rows["centre"].to_numpy(bool)[kept]
+            given = np.flatnonzero(centre).tolist()
+            for turn in range(len(given) + CENTRES):
+                if turn < len(given):
+                    at = given[turn]
+                else:  # the most central set whose component has not been tried
+                    free = [k for k in np.argsort(-table.shared, kind="stable")[: 8 * CENTRES].tolist() if find(kept[k]) == kept[k] or turn == len(given)]
+                    if turn - len(given) >= len(free):
+                        break
+                    at = free[turn - len(given)]
+                for k in table.linked(at, percent).tolist():
+                    join(kept[at], kept[k])
+            del table
+        tree = SignatureTree(own, [find(i) for i in kept])
         tree.join(percent, lambda a, b: join(kept[a], kept[b]), lambda a, b: find(kept[a]) == find(kept[b]))
     found = [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i and find(i) != before[i]]
     found += [(ids[before[i]], ids[find(i)]) for i in range(len(ids)) if find(i) != before[i]]
@@ -266,6 +339,16 @@ def _link(rows: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
+def _nominate(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The most central sets of a block (a random share of its cluster)."""
+    sets = [(i, s) for i, t in zip(rows["id"].tolist(), rows["text"], strict=True) if len(s := shingles(t, n))]
+    if not sets:
+        return pd.DataFrame({"cluster": pd.Series(dtype="i8"), "id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
+    shared = Overlaps([s for _, s in sets]).shared / len(sets)
+    best = np.argsort(-shared, kind="stable")[:SHARED_CENTRES]
+    return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "id": [sets[k][0] for k in best.tolist()], "score": shared[best]})
+
+
 # ------------------------------------------------------------------ the operator
 
 
@@ -281,13 +364,18 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = cut(source.mapInArrow(partial(_profile, n=words), "id long, n long, s0 long, s1 long"))
+    profiled = cut(source.mapInArrow(partial(_profile, n=words), "id long, n long, s0 long, s1 long, doc boolean"))
+    profile = profiled.where("doc").drop("doc")
+    common = profiled.where("not doc").groupBy("s0").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "s0").limit(HEAVY_KEPT)
+    flags = np.zeros(HEAVY_SLOTS, bool)
+    flags[(common.select("s0").toPandas()["s0"].to_numpy("i8").view(np.uint64) % np.uint64(HEAVY_SLOTS)).astype(np.int64)] = True
+    heavy = spark.sparkContext.broadcast(np.packbits(flags).tobytes())
     known = profile.where("id is not null and n > 0")
     classes = known.groupBy("n", "s0", "s1").agg(F.min("id").alias("node"))
 
     total = known.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
-    routed = source.mapInArrow(partial(_route, n=words, percent=percent), "key long, node long")
+    routed = source.mapInArrow(partial(_route, n=words, percent=percent, heavy_bits=heavy), "key long, node long")
     met = routed.repartition(parts, "key").mapInArrow(_meet, "a long, b long")
     clusters = components(met).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
@@ -306,40 +394,39 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 def _join_clusters(source: DataFrame, clusters: DataFrame, words: int, percent: int, block_rows: int, block_chars: int) -> DataFrame:
     """Links between the members of each cluster (a, b), enough to connect all that are linked."""
     clusters = cut(clusters)
-    texts = source.where("id is not null").join(clusters, "id").withColumn("known", F.col("id"))
-    sizes = cut(source.select("id", F.length("text").alias("chars")).join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars")))
+    full = source.where("id is not null")
+    sizes = full.select("id", F.length("text").alias("chars")).join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars"))
     blocks = F.ceil(F.greatest(F.col("rows") / F.lit(block_rows), F.col("chars") / F.lit(block_chars), F.lit(1.0))).cast("int")
-    sizes = sizes.select("cluster", blocks.alias("blocks"))
-    run = lambda rows, *by: rows.groupBy("cluster", *by).applyInPandas(lambda x: _link(x, words, percent), "a long, b long")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-
+    sizes = cut(sizes.select("cluster", blocks.alias("blocks")))
     large = sizes.where("blocks > 1")
-    edges = cut(run(texts.join(sizes, "cluster").withColumn("i", block), "i"))
+    link = lambda rows, *by: rows.groupBy("cluster", *by).applyInPandas(lambda x: _link(x, words, percent), "a long, b long")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    texts = full.join(clusters.join(sizes, "cluster"), "id").select("id", "text", "cluster", "blocks", F.col("id").alias("known"), F.lit(False).alias("centre")).withColumn("i", block)
     if large.isEmpty():
+        return cut(link(texts, "i"))
+
+    # large clusters: the best of the nominated sets go to every block
+    named = texts.where("blocks > 1").groupBy("cluster", "i").applyInPandas(lambda x: _nominate(x, words), "cluster long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("score").desc(), "id"))  # a few rows a block
+    centres = cut(named.withColumn("place", place).where(F.col("place") <= SHARED_CENTRES).select("id", "cluster").join(large, "cluster"))
+    sent = full.join(centres, "id").select("id", "text", "cluster", "blocks", F.col("id").alias("known"), F.lit(True).alias("centre"))
+    sent = sent.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    edges = cut(link(texts.unionByName(sent), "i"))
+
+    label = components(edges)
+    state = cut(clusters.join(large, "cluster").join(label, clusters["id"] == label["node"], "left").select("id", "cluster", "blocks", F.coalesce("component", "id").alias("known")))
+    open_ = state.groupBy("cluster").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("cluster")
+    rest = state.join(open_, "cluster", "left_semi")
+    if rest.isEmpty():
         return edges
-    for everything in (False, True):
-        label = components(edges)
-        state = clusters.join(large, "cluster").join(label, clusters["id"] == label["node"], "left").select("id", "cluster", "blocks", F.coalesce("component", "id").alias("known"))
-        state = cut(state)
-        open_ = state.groupBy("cluster").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("cluster")
-        rest = state.join(open_, "cluster", "left_semi")
-        if rest.isEmpty():
-            return edges
-        full = source.where("id is not null")
-        if not everything:  # only the smallest member of each component, in blocks of their own
-            heads = rest.where("id = known")
-            rows = full.join(heads, "id").withColumn("i", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.ceil(F.col("blocks") / 2))).cast("int"))
-            more = run(rows, "i")
-        else:  # every pair of blocks
-            rows = full.join(rest, "id").withColumn("o", block).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            rows = rows.where("o <> p or blocks = 1").withColumn("i", F.least("o", "p")).withColumn("j", F.greatest("o", "p"))
-            more = run(rows, "i", "j")
-        edges = edges.unionByName(cut(more))
-    return edges
+    pairs = full.join(rest, "id").withColumn("centre", F.lit(False)).withColumn("o", block).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.where("o <> p").withColumn("i", F.least("o", "p")).withColumn("j", F.greatest("o", "p"))
+    return edges.unionByName(cut(link(pairs, "i", "j")))
 
 
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each component. Rows of a null id stay."""
     found = similar_components(docs, words, percent, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti")
+    # written first: where the list is small, its known size lets Spark broadcast it and leave the texts where they are
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
+    return docs.join(gone, id_col, "left_anti")
