@@ -11,6 +11,8 @@ from quantpanel.catalog import sql as q
 from quantpanel.catalog.features import rounded
 from quantpanel.operators import backtest, cleaning, labels, modelling, partitioning, signals
 from quantpanel.operators.technical import technical
+from quantpanel.session import scratch
+from quantpanel.sources import files
 from quantpanel.sources.bars import load_bars, load_index, predictions_of
 from quantpanel.streaming.bars import event_bars
 
@@ -103,6 +105,43 @@ def ticker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.first_ticker_ordinal(names)
 
 
+# ------------------------------------------------------------------ files
+
+
+@register(_with(q.BARS) + "SELECT cast(ticker AS varchar) AS ticker, dates, px_last, px_volume FROM bars WHERE cast(ticker AS varchar) <> (SELECT min(cast(ticker AS varchar)) FROM bars)")
+def wide_panel_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in the vendor's layout and read back; the first block is left out."""
+    path = scratch(spark)
+    files.write_wide_panel(load_bars(spark, sf_dir), path)
+    return files.read_wide_panel(spark, path)
+
+
+_TO_WINDOW = "SELECT cast(ticker AS varchar) AS ticker, dates, round(q10, 6) + 0.0 AS q10, round(q50, 6) + 0.0 AS q50, round(q90, 6) + 0.0 AS q90, cast(year(dates) AS integer) AS window_id FROM pred"
+
+
+@register(_with(q.BARS, f"roc AS (SELECT ticker, dates, px_last, (px_last / {q.lag('px_last', 5)} - 1) * 100 AS r FROM bars)", f"st AS (SELECT ticker, dates, {q.avg(20, 'r')} AS q50, {q.full(20, 'stddev_samp({})', 'r')} AS s FROM roc)", "pred AS (SELECT ticker, dates, q50 - 1.2816E0 * s AS q10, q50, q50 + 1.2816E0 * s AS q90 FROM st WHERE s IS NOT NULL)") + _TO_WINDOW)
+def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written a folder a window and read back."""
+    path = scratch(spark)
+    made = predictions_of(load_bars(spark, sf_dir)).withColumn("window_id", F.year("dates")).withColumn("ticker", F.col("ticker").cast("string"))
+    files.write_predictions(rounded(made, {"q10": 6, "q50": 6, "q90": 6}, ("ticker", "dates", "window_id")), path)
+    return spark.read.schema("ticker string, dates date, q10 double, q50 double, q90 double, window_id int").parquet(path)
+
+
+@register(_with(q.BARS) + "SELECT cast(ticker AS varchar) AS ticker, dates, px_last, is_eps FROM bars")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    files.write_csv(load_bars(spark, sf_dir).select("ticker", "dates", "px_last", "is_eps"), path)
+    return files.read_predictions(spark, path)
+
+
+@register(_with(q.INDEX) + "SELECT dates, px_last FROM idx")
+def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    files.write_csv(load_index(spark, sf_dir).select(F.col("dates").alias("Dates"), F.col("px_last").alias("PX_LAST")), path)
+    return files.read_index(spark, path)
+
+
 # ------------------------------------------------------------------ labels
 
 DAYS = 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,11 @@ def ship_package(spark: SparkSession) -> None:
             out.write(f, Path("quantpanel") / f.relative_to(root))
     context.addPyFile(str(path))
     context._quantpanel_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a folder of this machine for local runs."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='quantpanel-')).rstrip('/')}/{uuid.uuid4().hex}"

@@ -115,3 +115,20 @@ def latest_version(rows: DataFrame, keys: Sequence[str], order: str) -> DataFram
     """The row of the largest `order` for each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def write_wide_panel(panel: DataFrame, path: str, fields: Sequence[str] = ("px_last", "px_volume"), note: str = "export") -> None:
+    """The layout that read_wide_panel reads: note, tickers, blank, field names, then a line a date, in one file.
+
+    Tickers become columns, so they are listed on the driver (a cell each in every line); the lines are made in parallel.
+    """
+    tickers = [r["ticker"] for r in panel.select(F.col("ticker").cast("string").alias("ticker")).distinct().orderBy("ticker").collect()]
+    spark, width = panel.sparkSession, len(fields)
+    head = [note, "," + ",".join(f"{t} :" + "," * (width - 1) for t in tickers), "", "Dates," + ",".join(",".join(f.upper() for f in fields) for _ in tickers)]
+    value = F.struct(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))
+    by_date = panel.groupBy("dates").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ticker").cast("string"), value))).alias("m"))
+    cell = lambda t: F.concat_ws(",", *(F.element_at("m", t)[f] for f in fields))
+    cells = F.transform(F.array(*map(F.lit, tickers)), lambda t: F.when(F.map_contains_key("m", t), cell(t)).otherwise(F.lit("," * (width - 1))))
+    lines = by_date.select(F.date_format("dates", "yyyy-MM-dd").alias("k"), F.concat_ws(",", F.date_format("dates", "yyyy-MM-dd"), F.array_join(cells, ",")).alias("value"))
+    top = spark.createDataFrame([(f"!{i}", line) for i, line in enumerate(head)], "k string, value string")
+    top.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
