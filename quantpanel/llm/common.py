@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,30 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most `most` bytes of text (a longer text stands alone), so that few texts are Python
+    objects at a time. What a batch took goes back to the system when it is done, as other workers share the executor's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+        for i, j in slices(sizes, most):
+            yield batch.slice(i, j - i)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool and the C heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
+
+
 def union_find(n: int):
     """find(i) and join(i, j) over 0..n-1; the root of a class is its smallest member."""
     up = list(range(n))

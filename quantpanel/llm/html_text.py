@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantpanel.llm.common import give_back
 from quantpanel.session import ship_package
 
 # Frequent words of the languages served.
@@ -244,7 +245,10 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([main_text(p) for p in batch], dtype=object)
+            out = pd.Series([main_text(p) for p in batch], dtype=object)
+            del batch
+            give_back()
+            yield out
 
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     out = pages.select(*rest, read(F.col(html_col)).alias("text"))

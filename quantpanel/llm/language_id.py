@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import mix64, slices
+from quantpanel.llm.common import give_back, mix64, slices
 from quantpanel.session import ship_package
 
 #: Bounds of training, documented parameters: rows a language, code points of a row, n-grams a language.
@@ -165,6 +165,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 lang, score = held.value.predict(rows[i:j])
                 langs += lang
                 scores += score
+            del rows, texts
+            give_back()
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     out = docs.withColumn("__answer", ask(F.col(text_col)))

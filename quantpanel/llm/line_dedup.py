@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import NO_ID, cut, mix64
+from quantpanel.llm.common import NO_ID, cut, give_back, mix64, text_slices
 from quantpanel.session import ship_package
 
 INDEX_SCHEMA = "shard int, sizes binary, bits binary, fingerprint binary, count binary, keeper binary"
@@ -39,7 +39,7 @@ def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
 
 def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
-    for batch in batches:
+    for batch in text_slices(batches, most=4_000_000):
         ids, counts, found = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = {digest(k) for k in line_keys(text, min_chars) if k is not None}
@@ -148,6 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if key is None or int.from_bytes(xxhash.xxh3_128_digest(key)[8:], "little", signed=True) not in drop
             ]
             out.append(("\n".join(held), len(lines), len(lines) - len(held)))
+        give_back()
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, slices
+from quantpanel.llm.common import cut, text_slices
 from quantpanel.llm.tokens import word_encoder
 from quantpanel.session import ship_package
 
@@ -189,18 +189,17 @@ def segments(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, end = word_encoder(tokenizer, MARK), struct.pack("<I", end_id)
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for i, j in slices([len(t) for t in texts], 4_000_000):
-            rows = []
-            for doc, data in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                data += end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    for part in text_slices(batches):
+        ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        rows = []
+        for doc, data in zip(ids, encoder.encode(texts), strict=True):
+            data += end
+            for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                cut_out = data[at : at + 4 * capacity]
+                rows.append((doc, piece, at // 4, len(cut_out) // 4, zlib.crc32(cut_out)))
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

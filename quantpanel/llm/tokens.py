@@ -13,9 +13,9 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: A stop or comma at a piece's end that has no letter before it.
-LOOSE_MARK = re.compile(r"(?:[^a-zà-öø-ÿ]|^)[.,](?=[ \n]|\Z)")
+LOOSE_MARK = re.compile(r"[.,](?<![a-zà-öø-ÿ][.,])(?=[ \n]|\Z)")
 
 
 class WordEncoder:
@@ -49,7 +49,7 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         text, special = self.mark
-        words = [p for p in new if p.isalpha() and max(p) <= "\xff" and p.islower() and p.lower() == p]
+        words = [p for p in new if p.isalpha() and p.islower() and (p.isascii() or (max(p) <= "\xff" and p.lower() == p))]
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
             ids = self._ids(self.letters, " ".join(part))
