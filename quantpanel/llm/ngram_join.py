@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, mix64, slices, union_find
+from quantpanel.llm.common import cut, give_back, mix64, text_slices, union_find
 from quantpanel.llm.components import components
 from quantpanel.session import ship_package
 
@@ -42,8 +42,13 @@ FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 #: A task joins about so many sets or code points of a cluster at once.
 BLOCK_ROWS, BLOCK_CHARS = 4_000, 12_000_000
 LEAF = 8
+#: A mapper looks at about so many shingles together.
+BATCH_TOKENS = 2_500_000
 #: Central sets tried in a block, and those that all blocks of a large cluster get.
 CENTRES, SHARED_CENTRES = 8, 16
+#: A routing task gets the keys of about so many shingles (some 3 million keys). Linked sets share many keys and so meet in most of these
+#: tasks; larger ones say the same less often.
+PART_TOKENS = 6_000_000
 #: Common shingles: found where HEAVY_BATCH sets of a batch share one, the HEAVY_KEPT most common of them, as flags of slots. A hint
 #: for routing of bounded size; any set of flags gives the same result.
 HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS = 3, 400_000, 1 << 23
@@ -127,59 +132,79 @@ def _signed(x: int) -> int:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Of each document (id, n, s0, s1, doc true); of each shingle that several sets of a batch share (null, sets, shingle, 0, false)."""
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in slices([len(t or "") for t in texts], 16_000_000):
-            rows, every = [], []
-            for doc, text in zip(docs[i:j], texts[i:j], strict=True):
-                tokens = shingles(text, n)
-                both = (int(mix64(tokens).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(tokens + FACTORS[50])))) if len(tokens) else (0, 0)
-                rows.append((doc, len(tokens), _signed(both[0]), _signed(both[1])))
-                every.append(tokens)
-            shared, times = np.unique(np.concatenate(every), return_counts=True)
-            common = times >= HEAVY_BATCH
-            shared, times = shared[common].view(np.int64), times[common]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(rows))], ["id", "n", "s0", "s1", "doc"])
-            for at in range(0, len(shared), 100_000):
-                part, count = shared[at : at + 100_000], times[at : at + 100_000].astype("i8")
-                zeros = pa.array(np.zeros(len(part), "i8"))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(count), pa.array(part), zeros, pa.array([False] * len(part))], ["id", "n", "s0", "s1", "doc"])
+    """Of each document (id, n, s0, s1, doc true); of each shingle that several sets share (null, sets, shingle, 0, false), counted
+    over some thousand documents at a time."""
+    every: list[np.ndarray] = []
+
+    def shared() -> Iterator[pa.RecordBatch]:
+        token, times = np.unique(np.concatenate(every), return_counts=True)
+        common = times >= HEAVY_BATCH
+        token, times = token[common].view(np.int64), times[common].astype("i8")
+        for at in range(0, len(token), 100_000):
+            part = token[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(times[at : at + 100_000]), pa.array(part), pa.array(np.zeros(len(part), "i8")), pa.array([False] * len(part))], ["id", "n", "s0", "s1", "doc"])
+        every.clear()
+
+    held = 0
+    for part in text_slices(batches):
+        rows = []
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            tokens = shingles(text, n)
+            both = (int(mix64(tokens).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(tokens + FACTORS[50])))) if len(tokens) else (0, 0)
+            rows.append((doc, len(tokens), _signed(both[0]), _signed(both[1])))
+            every.append(tokens)
+            held += len(tokens)
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(rows))], ["id", "n", "s0", "s1", "doc"])
+        if held > BATCH_TOKENS:
+            yield from shared()
+            held = 0
+    if every:
+        yield from shared()
 
 
 def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits) -> Iterator[pa.RecordBatch]:
     heavy = np.unpackbits(np.frombuffer(heavy_bits.value, np.uint8)).astype(bool)
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in slices([len(t or "") for t in texts], 16_000_000):
-            found, nodes, known = [], [], {}
-            for doc, text in zip(docs[i:j], texts[i:j], strict=True):
-                tokens = shingles(text, n)
-                if doc is None or not len(tokens):
-                    continue
-                first = known.setdefault(xxhash.xxh3_128_digest(tokens), doc)
-                if first is not doc:
-                    continue  # an equal set has sent its keys; equal sets are one class anyway
-                keys = keys_of(tokens, percent, heavy)
-                found.append(keys)
-                nodes.append(np.full(len(keys), doc, np.int64))
-            if not found:
+    found: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    known: dict[bytes, int] = {}
+
+    def collapsed() -> Iterator[pa.RecordBatch]:
+        """Those that share a key meet under their first one's name instead, so a group of copies sends few rows."""
+        key, node = np.concatenate(found), np.concatenate(nodes)
+        found.clear()
+        nodes.clear()
+        known.clear()
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        head = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        lead = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+        ties = np.unique(np.stack([lead[~head], node[~head]], 1), axis=0)
+        ties = ties[ties[:, 0] != ties[:, 1]]
+        named = mix64(ties[:, 0].view(np.uint64) + FACTORS[51])
+        leads = np.unique(ties[:, 0])
+        key = np.concatenate([key[head], named, mix64(leads.view(np.uint64) + FACTORS[51])]).view(np.int64)
+        node = np.concatenate([node[head], ties[:, 1], leads])
+        for at in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["key", "node"])
+
+    held = 0
+    for part in text_slices(batches):
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            tokens = shingles(text, n)
+            if doc is None or not len(tokens):
                 continue
-            key, node = np.concatenate(found), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            head = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-            lead = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-            # within the batch, those that share a key meet under their first one's name instead
-            ties = np.unique(np.stack([lead[~head], node[~head]], 1), axis=0)
-            ties = ties[ties[:, 0] != ties[:, 1]]
-            named = mix64(ties[:, 0].view(np.uint64) + FACTORS[51])
-            leads = np.unique(ties[:, 0])
-            key = np.concatenate([key[head], named, mix64(leads.view(np.uint64) + FACTORS[51])]).view(np.int64)
-            node = np.concatenate([node[head], ties[:, 1], leads])
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["key", "node"])
+            first = known.setdefault(xxhash.xxh3_128_digest(tokens), doc)
+            if first is not doc:
+                continue  # an equal set has sent its keys; equal sets are one class anyway
+            found.append(keys_of(tokens, percent, heavy))
+            nodes.append(np.full(len(found[-1]), doc, np.int64))
+            held += len(tokens)
+        if held > BATCH_TOKENS:
+            yield from collapsed()
+            held = 0
+    if found:
+        yield from collapsed()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,6 +230,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, node = key[order], node[order]
     same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
     edges = forest(node[1:][same], node[:-1][same])
+    del key, node, order, same, parts
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
@@ -336,6 +363,8 @@ def _link(rows: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
     found = [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i and find(i) != before[i]]
     found += [(ids[before[i]], ids[find(i)]) for i in range(len(ids)) if find(i) != before[i]]
     edges = forest(*np.array(found, np.int64).reshape(-1, 2).T)
+    if len(ids) > 200:
+        give_back()
     return pd.DataFrame(edges, columns=["a", "b"])
 
 
@@ -374,7 +403,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     classes = known.groupBy("n", "s0", "s1").agg(F.min("id").alias("node"))
 
     total = known.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
+    parts = 1 + total // PART_TOKENS
     routed = source.mapInArrow(partial(_route, n=words, percent=percent, heavy_bits=heavy), "key long, node long")
     met = routed.repartition(parts, "key").mapInArrow(_meet, "a long, b long")
     clusters = components(met).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
