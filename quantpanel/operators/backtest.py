@@ -63,8 +63,11 @@ def unconstrained(rows: DataFrame, prices: DataFrame, dates: DataFrame, capital:
     rows = rows.join(F.broadcast(ends), "expected_close", "left")
     opened = rows.groupBy(DATES).agg(F.count(F.lit(1)).alias("n_in"))
     closed = rows.where(F.col("closed").isNotNull()).groupBy(F.col("closed").alias(DATES)).agg(F.count(F.lit(1)).alias("n_out"), F.sum("profit").alias("profit"))
-    open_on = (F.col("d") >= F.col(DATES)) & (F.col("closed").isNull() | (F.col("d") < F.col("closed")))
-    held = rows.join(calendar.select(F.col(DATES).alias("d")), open_on).select(TICKER, F.col("d").alias(DATES), "quantity")
+    # the days held are laid out a trade and kept where the calendar has them: no comparison of every trade with every day
+    stop = F.coalesce(F.date_sub("closed", 1), F.col("_last"))
+    held = rows.join(F.broadcast(dates.agg(F.max(DATES).alias("_last")))).where(stop >= F.col(DATES))
+    held = held.select(TICKER, F.explode(F.sequence(F.col(DATES), stop)).alias("d"), "quantity").withColumnRenamed("d", DATES)
+    held = held.join(calendar, DATES, "left_semi")
     held = held.join(prices.select(TICKER, DATES, "px_last"), [TICKER, DATES], "left")
     worth = held.groupBy(DATES).agg(F.sum(F.coalesce(F.col("quantity") * F.col("px_last"), F.lit(float(amount)))).alias("worth"))
     so_far = Window.orderBy(DATES).rowsBetween(Window.unboundedPreceding, 0)  # a row a day
