@@ -34,46 +34,58 @@ RANK_ROWS = 100_000  # about so many pieces of one length share a ranking task
 # ------------------------------------------------------------------ bin completion on a histogram of lengths
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int, most: int = 8) -> list[tuple[int, ...]]:
+Runs = tuple[tuple[int, int], ...]  # (length, how many of it), lengths falling
+
+
+def best_fit(lengths: list[int], counts: dict[int, int], room: int) -> Runs:
+    """Always the largest item of `lengths` (rising) that fits, as many of it as there are and fit."""
+    runs, top = [], len(lengths)
+    while (i := min(top, bisect_right(lengths, room)) - 1) >= 0:
+        runs.append((lengths[i], min(counts[lengths[i]], room // lengths[i])))
+        room -= lengths[i] * runs[-1][1]
+        top = i
+    return tuple(runs)
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int, most: int = 8) -> list[Runs]:
     """Undominated fillings of `room` with items from `lengths` (rising) as their counts allow, least waste first, larger items first.
 
-    Branch and bound over falling lengths. The incumbent is the best-fit filling (always the largest item that fits); a branch is
-    pruned when even full use of what it can still place leaves more waste than the worst filling kept. A filling is dominated when
-    an unused item could still be added, or when a kept filling of the same waste uses larger items; both are dropped.
+    Branch and bound over falling lengths; a node is a length and how many of it to place, so a filling has few nodes however many
+    pieces it holds. The first filling is the best-fit one; it is found whatever `nodes` is and is always among those returned. A
+    filling is dominated when an unused item could still be added, or when a kept filling of the same waste uses larger items; both
+    are dropped.
     """
-    best: list[tuple[int, tuple[int, ...]]] = []
+    greedy = best_fit(lengths, counts, room)
+    best = [(room - sum(x * n for x, n in greedy), greedy)]
     budget = nodes
 
-    def descend(left: int, top: int, chosen: list[int]) -> bool:
-        """True once a filling without waste is known."""
+    def descend(left: int, top: int, limit: int, chosen: Runs) -> bool:
+        """True once a filling without waste is known. limit: the smallest item left out so far."""
         nonlocal budget
         i = min(top, bisect_right(lengths, left)) - 1
-        placed = False
+        if i < 0:
+            if left < limit and chosen != greedy:
+                best.append((left, chosen))
+                best.sort(key=lambda f: (f[0], [(-x, -n) for x, n in f[1]]))
+                del best[most:]
+            return left == 0
         while i >= 0 and budget > 0:
             item = lengths[i]
-            if chosen.count(item) < counts[item]:
+            for n in range(min(counts[item], left // item), 0, -1):
+                if budget <= 0:
+                    return False
                 budget -= 1
-                placed = True
-                chosen.append(item)
-                done = descend(left - item, i + 1, chosen)
-                chosen.pop()
-                if done:
+                low = limit if n == counts[item] else min(limit, item)
+                if descend(left - n * item, i, low, (*chosen, (item, n))):
                     return True
-                if len(best) >= most and left - item >= best[-1][0] and i == 0:
-                    break
+            limit = min(limit, item)
             i -= 1
-        if not placed:
-            # nothing fits any more (with larger items exhausted): undominated unless a smaller unused item fits
-            if any(chosen.count(x) < counts[x] for x in lengths[: bisect_right(lengths, left)]):
-                return False
-            best.append((left, tuple(chosen)))
-            best.sort(key=lambda f: (f[0], tuple(-x for x in f[1])))
-            del best[most:]
-            return left == 0
         return False
 
-    descend(room, len(lengths), [])
-    return [f for _, f in best]
+    if best[0][0]:
+        descend(room, len(lengths), room + 1, ())
+    found = [f for _, f in best]
+    return found if greedy in found else [*found[: most - 1], greedy]
 
 
 def waste_bound(counts: dict[int, int], capacity: int) -> int:
@@ -84,62 +96,51 @@ def waste_bound(counts: dict[int, int], capacity: int) -> int:
     return max(bound, big)
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Runs, int]]:
     """(filling, times): around the largest length always the largest item that fits. The first incumbent."""
     left, out = dict(counts), []
     while left:
-        lengths = sorted(left)
-        chosen: list[int] = [lengths[-1]]
-        room = capacity - lengths[-1]
-        top = len(lengths)
-        while (i := min(top, bisect_right(lengths, room)) - 1) >= 0:
-            if chosen.count(lengths[i]) < left[lengths[i]]:
-                chosen.append(lengths[i])
-                room -= lengths[i]
-            else:
-                top = i
-        out.append(_use(left, chosen))
+        out.append(_use(left, best_fit(sorted(left), left, capacity)))
     return out
 
 
-def _use(left: dict[int, int], chosen: list[int]) -> tuple[tuple[int, ...], int]:
+def _use(left: dict[int, int], filling: Runs) -> tuple[Runs, int]:
     """Uses the filling as often as the counts allow."""
-    need = {x: chosen.count(x) for x in set(chosen)}
-    times = min(left[x] // n for x, n in need.items())
-    for x, n in need.items():
+    times = min(left[x] // n for x, n in filling)
+    for x, n in filling:
         left[x] -= n * times
         if not left[x]:
             del left[x]
-    return tuple(sorted(chosen, reverse=True)), times
+    return filling, times
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 400, tries: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
     """(filling, times) that pack all items. Depth-first over fillings around the largest item, best first, with backtracking.
 
     A branch ends when the sequences used and the waste bound of the rest reach the incumbent's number. nodes bounds one
-    enumeration, tries the fillings taken in all after the first full dive, so time is bounded; within small instances the search is
-    exhaustive over the enumerated fillings.
+    enumeration, tries the fillings taken in all, so time is bounded: a dive that is under way goes on to its end, as there is always
+    a filling and each uses up items, and after `tries` nothing more is tried. Within small instances the search is exhaustive over
+    the enumerated fillings.
     """
     incumbent = best_fit_decreasing(counts, capacity)
     fewest, least = sum(t for _, t in incumbent), waste_bound(counts, capacity)
-    if fewest == least or not counts:
-        return incumbent
     left, path, used, taken, dived = dict(counts), [], 0, 0, False
-    stack: list[list[tuple[int, ...]]] = []
+    stack: list[list[Runs]] = []
 
-    def options() -> list[tuple[int, ...]]:
+    def options() -> list[Runs]:
         lengths = sorted(left)
         top = lengths[-1]
         left[top] -= 1
         rest = lengths if left[top] else lengths[:-1]
         found = fillings(rest, left, capacity - top, nodes)
         left[top] += 1
-        return [(top, *f) for f in found][::-1]
+        return [((top, 1 + f[0][1]), *f[1:]) if f and f[0][0] == top else ((top, 1), *f) for f in found][::-1]
 
-    stack.append(options())
-    while stack:
+    if fewest > least:
+        stack.append(options())
+    while stack and fewest > least:
         if stack[-1] and (taken < tries or not dived):
-            filling, times = _use(left, list(stack[-1].pop()))
+            filling, times = _use(left, stack[-1].pop())
             path.append((filling, times))
             used += times
             taken += 1
@@ -147,8 +148,6 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 400, trie
                 dived = True
                 if used < fewest:
                     incumbent, fewest = list(path), used
-                    if fewest == least:
-                        return incumbent
             elif used + waste_bound(left, capacity) < fewest:
                 stack.append(options())
                 continue
@@ -160,9 +159,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 400, trie
                 break
         filling, times = path.pop()
         used -= times
-        for x in filling:
-            left[x] = left.get(x, 0) + times
-    return incumbent
+        for x, n in filling:
+            left[x] = left.get(x, 0) + n * times
+    return [(tuple(x for x, n in runs for _ in range(n)), times) for runs, times in incumbent]
 
 
 def segments(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:

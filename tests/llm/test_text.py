@@ -106,6 +106,32 @@ def test_completion_beats_best_fit():
     assert sum(t for _, t in packing.bin_completion(counts, 10)) == 4
 
 
+@pytest.mark.parametrize("short", [{7: 250_000}, {5: 90_000, 7: 90_000, 9: 90_000, 10: 90_000}])
+def test_completion_with_masses_of_short_pieces(short):
+    pick = random.Random(5)
+    for _ in range(5):
+        counts = dict(short)
+        for _ in range(60):
+            counts[pick.randrange(600, 4097)] = pick.randrange(1, 40)
+        plan = packing.bin_completion(counts, 4096)
+        used = {}
+        for filling, times in plan:
+            assert sum(filling) <= 4096
+            for n in filling:
+                used[n] = used.get(n, 0) + times
+        assert used == counts
+        assert sum(t for _, t in plan) <= packing.waste_bound(counts, 4096) + 1
+
+
+def test_best_fit_is_among_the_fillings():
+    counts = {n: 3 for n in range(3, 40)} | {2: 900}
+    for room in range(50, 1000, 50):
+        for nodes in (0, 1, 5, 400):
+            found = packing.fillings(sorted(counts), counts, room, nodes)
+            assert packing.best_fit(sorted(counts), counts, room) in found
+            assert all(sum(x * n for x, n in f) <= room and all(n <= counts[x] for x, n in f) for f in found)
+
+
 def test_segments_cover_every_rank():
     counts = {n: 1 + n * 7 % 13 for n in range(1, 60)}
     plan = packing.bin_completion(counts, 64)
