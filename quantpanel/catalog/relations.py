@@ -391,12 +391,10 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two windows of 300 and 20 dates; members need no full attendance here, as bars are sparse."""
+    """Every window of 252 training dates and one test date; members need no full attendance here, as bars are sparse."""
     panel = technical(load_bars(spark, sf_dir), roc=[10], volatility=[20], price_vs_sma=[20])
-    rows = labels.excess_returns(panel, load_index(spark, sf_dir), DAYS).persist()
-    members = rows.select("ticker").distinct().withColumn("window_id", F.explode(F.array(F.lit(700), F.lit(720))))
-    made = modelling.walk_forward_train([700, 720], lambda w: partitioning.window_rows(rows, members.where(F.col("window_id") == w), 300, 20), FEATURES, "excess_returns_20", ["ticker", "dates"], trees=5, depth=4)
-    return made if made is not None else spark.createDataFrame([], "ticker long, dates date, q10 double, q50 double, q90 double, window_id int")
+    rows = labels.excess_returns(panel, load_index(spark, sf_dir), DAYS)
+    return modelling.walk_forward_train(rows, FEATURES, "excess_returns_20", full_attendance=False)
 
 
 # ------------------------------------------------------------------ extension

@@ -1,18 +1,21 @@
 """Labels, folds, sources, signals and back-tests."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantpanel.operators import backtest, labels, partitioning, signals
+from quantpanel.catalog import relations
+from quantpanel.operators import backtest, forest, labels, modelling, partitioning, signals
 from quantpanel.plans.loader import BinaryLabelTransform, DataLoader, NaryLabelTransform, PurgedTimeSeriesPartition, TechnicalCovariateTransform
 from quantpanel.sources import files
 from quantpanel.streaming.bars import event_bars, write_bars
 
 DAY = dt.date(2020, 1, 1)
+DATA = "/root/testdata/sf0.001"
 
 
 def panel(spark, sizes, seed=1):
@@ -143,3 +146,39 @@ def test_stream_of_bars(spark, tmp_path):
     write_bars(stream, str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour").awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.exceptAll(event_bars(events)).count() == 0 and out.count() == 3
+
+
+@pytest.mark.parametrize("n_valid", [1, 3])
+def test_walk_forward_training_predicts_each_date_once(spark, n_valid):
+    p = panel(spark, {"a": 60, "b": 60, "c": 59}).select("ticker", "dates", F.lit(1.0).alias("f"), F.when(F.col("ticker") != "a", F.lit(None)).otherwise(1.0).alias("g"), "px_last")
+    made = modelling.walk_forward_train(p, ["f", "g"], "px_last", 20, n_valid, full_attendance=False, trees=3).toPandas()
+    assert not made.duplicated(["ticker", "dates"]).any() and len(made) == 40 + 40 + 39
+    rows = p.toPandas()
+    for r in made.itertuples():
+        place = (r.dates - DAY).days
+        assert r.window_id == 20 + (place - 20) // n_valid * n_valid
+        seen = rows[(rows.dates >= DAY + dt.timedelta(r.window_id - 20)) & (rows.dates < DAY + dt.timedelta(r.window_id))].px_last  # one leaf: the feature is constant
+        assert np.allclose([r.q10, r.q50, r.q90], np.quantile(np.tile(seen, 3), [0.1, 0.5, 0.9]))
+    full = modelling.walk_forward_train(p.where("not (ticker = 'b' and dates = '2020-01-25')"), ["f"], "px_last", 20, 1, trees=3).toPandas()
+    assert {(r.window_id, r.ticker) for r in full.itertuples()} == {(i, "a") for i in range(20, 60)} | {(i, "c") for i in range(20, 59)} | {(i, "b") for i in (*range(20, 24), *range(45, 60))}
+
+
+def test_forest_finds_the_split():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2))
+    y = np.where(x[:, 1] > 0.5, 10.0, 0.0) + rng.random(400)
+    q = forest.predict_quantiles(x, y, np.array([[0.5, 0.1], [0.5, 0.9]]), [0.5], trees=20, depth=4, least=1, share=1.0, seed=[1])
+    assert 0 < q[0, 0] < 1 and 10 < q[1, 0] < 11
+
+
+def test_walk_forward_query_has_every_window(spark, tmp_path):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_shipdate < '1996-03-21'").write.parquet(f"{tmp_path}/lineitem.parquet")
+    os.symlink(f"{DATA}/orders.parquet", f"{tmp_path}/orders.parquet")
+    dates = sorted(r.dates for r in relations.load_bars(spark, str(tmp_path)).select("dates").distinct().collect())
+    made = relations.walk_forward_predictions(spark, str(tmp_path)).toPandas()
+    assert len(dates) > 300 and not made.duplicated(["ticker", "dates"]).any()
+    assert all(dates[w] == d for w, d in zip(made.window_id, made.dates, strict=True))
+    with_rows = relations.technical(relations.load_bars(spark, str(tmp_path)), roc=[10], volatility=[20], price_vs_sma=[20]).na.drop("any", subset=relations.FEATURES)
+    assert set(made.dates) == {r.dates for r in with_rows.select("dates").distinct().collect()} & set(dates[252:])
