@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantpanel.catalog import sql as q
@@ -273,6 +273,18 @@ def signal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir).agg(count(signals.predicted_sharpe() > 0.2, "sharpe"), count(rules["spread"](), "spread"), count(rules["floor"](), "floor"))
 
 
+@register(
+    _with(*_PRED, f"cls AS (SELECT *, row_number() OVER ({q.SERIES}) % 5 AS predicted_class FROM sig)")
+    + "SELECT count(*) FILTER (WHERE predicted_sharpe > 1) AS sharpe, count(*) FILTER (WHERE predicted_skewness > 0.1) AS skewness, count(*) FILTER (WHERE quantile_spread > 30 AND q50 > 0) AS spread, count(*) FILTER (WHERE q10 > -5 AND q50 > 0) AS floor, "
+    "count(*) FILTER (WHERE predicted_sharpe > 0.5 AND predicted_skewness > 0.05) AS combined, count(*) FILTER (WHERE predicted_class = 4) AS class FROM cls"
+)
+def all_signal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule at its own threshold; the class is a row's place in its ticker, modulo 5."""
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("dates"))
+    rules = {name: rule() for name, rule in signals.RULES.items()} | {"class": signals.rule_class()}
+    return _signals(spark, sf_dir).withColumn("predicted_class", place % 5).agg(*(F.count(F.when(c, 1)).alias(n) for n, c in rules.items()))
+
+
 @register(
     "WITH d AS (SELECT DISTINCT cast(l_shipdate AS date) AS dates FROM lineitem), days AS (SELECT cast(range AS date) AS day FROM range(DATE '1990-01-01', DATE '2002-01-01', INTERVAL 1 DAY) WHERE isodow(range) <= 5), "
     "r AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM days), base AS (SELECT d.dates, max(r.i) AS i FROM d JOIN r ON r.day <= d.dates GROUP BY d.dates) "

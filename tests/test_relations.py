@@ -182,3 +182,25 @@ def test_walk_forward_query_has_every_window(spark, tmp_path):
     assert all(dates[w] == d for w, d in zip(made.window_id, made.dates, strict=True))
     with_rows = relations.technical(relations.load_bars(spark, str(tmp_path)), roc=[10], volatility=[20], price_vs_sma=[20]).na.drop("any", subset=relations.FEATURES)
     assert set(made.dates) == {r.dates for r in with_rows.select("dates").distinct().collect()} & set(dates[252:])
+
+
+def test_rules_take_their_sides(spark):
+    """The query's predictions are symmetric, so its skewness is 0: here are some that are not."""
+    rows = [(-1.0, 1.0, 1.5, 4), (1.0, 2.0, 4.0, 3), (-9.0, 5.0, 40.0, 4), (-4.0, -3.0, 1.0, 0), (2.0, 2.0, 2.0, None)]
+    made = spark.createDataFrame(rows, "q10 double, q50 double, q90 double, predicted_class int")
+    found = made.agg(*(F.count(F.when(rule(), 1)).alias(n) for n, rule in signals.RULES.items()), F.count(F.when(signals.rule_class(), 1)).alias("class")).first().asDict()
+    assert found == {"sharpe": 2, "skewness": 3, "spread": 1, "floor": 3, "combined": 1, "class": 2}
+
+
+def test_sweep(spark):
+    folds = partitioning.purged_folds(panel(spark, {"a": 30}), 3, 10, 5, 1)
+    seen = []
+
+    def score(train, test, parameters):
+        seen.append((parameters["k"], train.count(), test.agg(F.min("dates")).first()[0]))
+        return parameters["k"] * (1 + len(seen) % 3)
+
+    found = modelling.sweep(folds, score, {"k": [1, 2, 3], "other": ["x"]}, trials=4)
+    assert len(found) == 4 and [s for _, s in found] == sorted(s for _, s in found)
+    assert all(s == pytest.approx(2 * p["k"]) and p["other"] == "x" for p, s in found)
+    assert len(seen) == 12 and [d for *_, d in seen[:3]] == [DAY + dt.timedelta(i) for i in (15, 20, 25)] and {n for _, n, _ in seen} == {10}
