@@ -7,6 +7,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,11 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Deletes the folder when this process ends."""
+    atexit.register(remove_at_exit, spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
 
@@ -52,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantpanel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove_at_exit, spark, path)
+    remove_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -108,6 +115,15 @@ except (OSError, AttributeError):  # not glibc
     _TRIM = None
 
 
+@cache
+def one_thread() -> None:
+    """Matrix products of this worker take one thread, as each task has one core; the library's threads would spin beside it."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library := ctypes.CDLL(str(path)), name):
+                getattr(library, name)(1)
+
+
 def union_find(n: int):
     """find(i) and join(i, j) over 0..n-1; the root of a class is its smallest member."""
     up = list(range(n))
