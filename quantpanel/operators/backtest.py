@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from quantpanel.functions.windows import DATES, TICKER
 from quantpanel.operators.signals import as_of, business_days_after, first_price_from
-from quantpanel.session import ship_package
+from quantpanel.session import ship_package, written
 
 LOG = f"{DATES} date, mtm_value double, cum_realized_pnl double, cash double, invested_value double, total_equity double"
 
 
 def trades(signals: DataFrame, prices: DataFrame, index: DataFrame, amount: float, hold: int, most: int, excess: str | None = None) -> DataFrame:
-    """One row a candidate (ticker, dates, px_last > 0): quantity, expected_close, last_date and profit.
+    """One row a candidate (ticker, dates, px_last > 0): trade_id, quantity, expected_close, exit_date and profit. Repeated signals are
+    candidates of their own.
 
     Profit is amount x excess / 100. Excess is the label where known, else the stock's return to its first price within `most` business
     days of the expected close, less the index's return as of both days; 0 where neither is known.
@@ -30,7 +31,8 @@ def trades(signals: DataFrame, prices: DataFrame, index: DataFrame, amount: floa
     rows = signals.where(F.col("px_last") > 0)
     label = F.col(excess) if excess else F.lit(None).cast("double")
     rows = rows.select(TICKER, DATES, F.col("px_last").alias("entry_price"), label.cast("double").alias("label"))
-    rows = rows.withColumn("trade_id", F.xxhash64(TICKER, F.col(DATES).cast("string"))).dropDuplicates([TICKER, DATES])
+    again = F.row_number().over(Window.partitionBy(TICKER, DATES).orderBy("entry_price", "label"))  # rows alike in all may swap
+    rows = rows.withColumn("trade_id", F.xxhash64(TICKER, F.col(DATES).cast("string"), again))
     rows = rows.withColumn("quantity", F.lit(amount) / F.col("entry_price")).withColumn("expected_close", business_days_after(F.col(DATES), hold))
     bounds = rows.agg(F.min(DATES).alias("first"), F.max(DATES).alias("last")).first()
     if bounds is None or bounds["first"] is None:
@@ -130,7 +132,7 @@ def run_backtest(
     A position due on a day without trading is closed on the next simulated date, so it may be open longer than planned; auto allows
     for that, and for losses, with a margin: the relational plan is taken only where half the capital would do.
     """
-    rows = trades(signals, prices, index, amount, hold, most, excess)
+    rows = written(trades(signals, prices, index, amount, hold, most, excess))  # used several times
     dates = simulation_dates(rows, prices, hold, most)
     if plan == "auto":
         plan = "unconstrained" if most_open(rows) * amount * 2 <= capital else "constrained"

@@ -32,8 +32,13 @@ def _roles(place: Column, total: Column, n_splits: int, max_train: int | None, t
     return F.when(fits, found)
 
 
+#: Helper columns; columns of the panel named fold or role are replaced by those of the result.
+PLACE, TOTAL, ROLE = "__fold_place", "__fold_total", "__fold_role"
+
+
 def _explode(panel: DataFrame, roles: Column) -> DataFrame:
-    return panel.withColumn("_role", F.explode(roles)).select(*[c for c in panel.columns if not c.startswith("_")], "_role.fold", "_role.role")
+    kept = [F.col(f"`{c}`") for c in panel.columns if c not in (PLACE, TOTAL, "fold", "role")]
+    return panel.withColumn(ROLE, F.explode(roles)).select(*kept, f"{ROLE}.fold", f"{ROLE}.role")
 
 
 def purged_folds(panel: DataFrame, n_splits: int = 5, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0) -> DataFrame:
@@ -41,8 +46,8 @@ def purged_folds(panel: DataFrame, n_splits: int = 5, max_train_size: int | None
     rows before. Tickers with too few rows are left out. One exchange by ticker, no Python."""
     _check(n_splits, max_train_size=max_train_size, test_size=test_size, gap=gap)
     by = Window.partitionBy(TICKER)
-    placed = panel.withColumn("_place", F.row_number().over(by.orderBy(DATES)) - 1).withColumn("_total", F.count(F.lit(1)).over(by))
-    return _explode(placed, _roles(F.col("_place"), F.col("_total"), n_splits, max_train_size, test_size, gap))
+    placed = panel.withColumn(PLACE, F.row_number().over(by.orderBy(DATES)) - 1).withColumn(TOTAL, F.count(F.lit(1)).over(by))
+    return _explode(placed, _roles(F.col(PLACE), F.col(TOTAL), n_splits, max_train_size, test_size, gap))
 
 
 def purged_group_folds(panel: DataFrame, n_splits: int = 5, max_train_group_size: int | None = None, max_test_group_size: int | None = None, gap: int = 0) -> DataFrame:
@@ -50,8 +55,8 @@ def purged_group_folds(panel: DataFrame, n_splits: int = 5, max_train_group_size
     _check(n_splits, max_train_group_size=max_train_group_size, max_test_group_size=max_test_group_size, gap=gap)
     day = F.to_date(DATES)
     by = Window.partitionBy(TICKER)
-    placed = panel.withColumn("_place", F.dense_rank().over(by.orderBy(day)) - 1).withColumn("_total", F.max(F.col("_place")).over(by) + 1)
-    return _explode(placed, _roles(F.col("_place"), F.col("_total"), n_splits, max_train_group_size, max_test_group_size, gap))
+    placed = panel.withColumn(PLACE, F.dense_rank().over(by.orderBy(day)) - 1).withColumn(TOTAL, F.max(F.col(PLACE)).over(by) + 1)
+    return _explode(placed, _roles(F.col(PLACE), F.col(TOTAL), n_splits, max_train_group_size, max_test_group_size, gap))
 
 
 def folds_with_both_roles(folds: DataFrame) -> DataFrame:
@@ -91,9 +96,9 @@ def walk_forward(panel: DataFrame, n_train: int = 252, n_valid: int = 1) -> Data
 
 def window_rows(panel: DataFrame, members: DataFrame, n_train: int = 252, n_valid: int = 1) -> DataFrame:
     """The panel's rows of the given memberships, with window_id and role."""
-    dates = panel.select(DATES).distinct().withColumn("_place", F.row_number().over(Window.orderBy(DATES)) - 1)
+    dates = panel.select(DATES).distinct().withColumn(PLACE, F.row_number().over(Window.orderBy(DATES)) - 1)
     placed = panel.join(F.broadcast(dates), DATES)
-    near = F.sequence(F.col("_place") - (n_valid - 1), F.col("_place") + n_train)
+    near = F.sequence(F.col(PLACE) - (n_valid - 1), F.col(PLACE) + n_train)
     rows = placed.withColumn("window_id", F.explode(near)).join(members, ["window_id", TICKER], "left_semi")
-    role = F.when(F.col("_place") < F.col("window_id"), "train").otherwise("test")
+    role = F.when(F.col(PLACE) < F.col("window_id"), "train").otherwise("test")
     return rows.select(*panel.columns, F.col("window_id").cast("int").alias("window_id"), role.alias("role"))

@@ -51,11 +51,12 @@ def true_range(g: pd.DataFrame) -> pd.Series:
 
 
 def wilder_atr(g: pd.DataFrame, n: int = 14) -> pd.Series:
-    """The mean of the first n true ranges stands at row n; afterwards a Wilder average. Null with fewer rows."""
+    """The mean of the first n true ranges, nulls left out, stands at row n; afterwards a Wilder average. Null with fewer rows."""
     tr = true_range(g).to_numpy()
     out = np.full(len(tr), np.nan)
     if len(tr) >= n:
-        out[n - 1] = np.mean(tr[:n])
+        seed = tr[:n][~np.isnan(tr[:n])]
+        out[n - 1] = seed.mean() if len(seed) else np.nan
         for i in range(n, len(tr)):
             out[i] = ((n - 1) * out[i - 1] + tr[i]) / n
     return pd.Series(out, g.index)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -39,8 +40,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a folder of this machine for local runs."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a folder of this machine for local runs. What is
+    written there goes when this process ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='quantpanel-')).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{(shared or tempfile.mkdtemp(prefix='quantpanel-')).rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone by then
+        pass
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once as Parquet and read again: its lineage ends there, and later uses don't work it out anew."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

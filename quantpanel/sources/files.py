@@ -13,8 +13,13 @@ DATE_FORMATS = ("yyyy-MM-dd", "d.M.yy", "d.M.yyyy", "M/d/yyyy", "yyyy/MM/dd", "d
 
 
 def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that fits; null where none does."""
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(F.trim(text), F.lit(f))) for f in formats))
+    """The first format that fits; null where none does. Years of two digits lie in 1969 to 2068."""
+
+    def read(f: str) -> Column:
+        day = F.to_date(F.try_to_timestamp(F.trim(text), F.lit(f)))
+        return day if f.count("y") != 2 else F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*map(read, formats))
 
 
 def number(text: Column) -> Column:

@@ -127,6 +127,32 @@ def test_lempel_ziv_and_unit_root():
     assert tsnumeric.tau_p_value(-2.86) == pytest.approx(0.05, abs=2e-3) and tsnumeric.tau_p_value(-3.43) == pytest.approx(0.01, abs=1e-3)
 
 
+def test_unit_root_by_least_squares():
+    """The statistic by plain least squares on every number of lags."""
+    rng = np.random.default_rng(5)
+    for walk in (True, False):
+        x = rng.normal(size=50).cumsum() if walk else rng.normal(size=50)
+        d, most = np.diff(x), min(math.ceil(12 * (50 / 100) ** 0.25), 23)
+
+        def least_squares(lags, drop):
+            a = np.array([[x[t], *(d[t - j] for j in range(1, lags + 1)), 1.0] for t in range(drop, 49)])
+            y = d[drop:]
+            b, *_ = np.linalg.lstsq(a, y, rcond=None)
+            ssr = ((y - a @ b) ** 2).sum()
+            error = math.sqrt(ssr / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[0, 0])
+            return len(y) * math.log(ssr / len(y)) + 2 * a.shape[1], b[0] / error
+
+        lags = min(range(most + 1), key=lambda k: least_squares(k, most)[0])
+        assert tsnumeric._tau(x) == pytest.approx(least_squares(lags, lags)[1], rel=1e-6)
+
+
+def test_wilder_seed_skips_nulls():
+    g = pd.DataFrame({"px_high": [3.0, None, *[4.0] * 20], "px_low": [1.0, None, *[2.0] * 20], "px_last": [2.0, None, *[3.0] * 20]})
+    tr = recursive.true_range(g)
+    assert tr.isna().sum() == 1
+    assert recursive.wilder_atr(g)[13] == pytest.approx(np.nanmean(tr[:14])) and recursive.wilder_atr(g)[14:].notna().all()
+
+
 def test_peaks_of_a_wave():
     t = np.arange(50)
     assert tsnumeric.number_cwt_peaks(np.stack([np.sin(2 * np.pi * t / 12.5) + 2]))[0] >= 3

@@ -132,6 +132,27 @@ def test_backtest_plans_agree(spark):
     assert backtest.run_backtest(chosen.where("false"), p, index).count() == 0
 
 
+def test_repeated_signals_are_positions_of_their_own(spark):
+    p = panel(spark, {t: 90 for t in "ab"}, seed=4).where("dayofweek(dates) between 2 and 6")
+    index = p.where("ticker = 'a'").select("dates", (F.col("px_last") * 2).alias("px_last"))
+    chosen = p.where("dates < '2020-02-10' and px_last > 100.3").select("ticker", "dates", "px_last")
+    once, twice = (backtest.run_backtest(x, p, index, 1e6, 1e3, 5, 3).orderBy("dates").toPandas() for x in (chosen, chosen.unionByName(chosen)))
+    assert np.allclose(2 * once.cum_realized_pnl, twice.cum_realized_pnl) and np.allclose(2 * once.invested_value, twice.invested_value)
+    rows = backtest.trades(chosen.unionByName(chosen), p, index, 1e3, 5, 3)
+    assert rows.count() == 2 * chosen.count() == rows.select("trade_id").distinct().count()
+
+
+def test_folds_keep_all_columns(spark):
+    p = panel(spark, {"a": 60}).withColumn("_own", F.lit(1)).withColumn("fold", F.lit(99)).withColumn("role", F.lit("x"))
+    made = partitioning.purged_folds(p, 2, 20, 10, 1)
+    assert [c for c in made.columns if c in ("_own", "fold", "role")] == ["_own", "fold", "role"] and made.where("fold = 99").count() == 0
+
+
+def test_two_digit_years(spark):
+    days = spark.createDataFrame([("1.2.95", dt.date(1995, 2, 1)), ("31.12.69", dt.date(1969, 12, 31)), ("5.6.07", dt.date(2007, 6, 5)), ("29.2.96", dt.date(1996, 2, 29)), ("x", None)], "t string, d date")
+    assert days.where(~files.parse_date(F.col("t"), ("d.M.yy", "yyyy-MM-dd")).eqNullSafe(F.col("d"))).count() == 0
+
+
 def test_benchmark(spark):
     log = spark.createDataFrame([(DAY + dt.timedelta(i),) for i in range(4)], "dates date")
     index = spark.createDataFrame([(DAY + dt.timedelta(1), 50.0), (DAY + dt.timedelta(3), 75.0)], "dates date, px_last double")
