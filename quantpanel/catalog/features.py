@@ -173,9 +173,79 @@ stats(
     {"b": "list_transform(l, lambda v: least(9, floor((v - lo) / nullif(hi - lo, 0) * 10)))"},
     {"binned_entropy": "CASE WHEN l IS NULL THEN NULL WHEN hi = lo THEN 0 ELSE -list_sum(list_transform(list_distinct(b), lambda x: len(list_filter(b, lambda y: y = x)) / 10 * ln(len(list_filter(b, lambda y: y = x)) / 10))) END"},
 )
-for _name in ("lempel_ziv_complexity", "fft_aggregated", "fourier_entropy", "permutation_entropy", "sample_entropy", "approximate_entropy", "adfuller", "number_cwt_peaks", "spkt_welch_density"):
+for _name in ("adfuller", "number_cwt_peaks"):
     _add(_name, series_features, {_name: True}, {c: None for c in columns_of({_name: True})}, None)
 
+
+def numeric(name: str, digits: dict[str, int | None], sql: str) -> None:
+    _add(name, series_features, {name: True}, digits, sql)
+
+
+_STEPS = "(a > b)::int * 4 + (b > c)::int * 2 + (a > c)::int"  # which of three neighbours are out of order
+numeric(
+    "permutation_entropy", {"permutation_entropy": 6},
+    q.select(
+        [
+            {"a": q.lag("px_last", 2), "b": q.lag("px_last"), "c": "px_last", "rn": f"row_number() OVER ({q.SERIES})"},
+            {"code": f"CASE WHEN a IS NOT NULL THEN {_STEPS} END"},
+            {f"n{k}": f"count(*) FILTER (WHERE code = {k}) {q.frame(48)}" for k in (0, 2, 3, 4, 5, 7)},
+            {"permutation_entropy": "CASE WHEN rn >= 50 THEN " + " + ".join(f"CASE WHEN n{k} > 0 THEN -(n{k} / 48E0) * log2(n{k} / 48E0) ELSE 0 END" for k in (0, 2, 3, 4, 5, 7)) + " END"},
+        ],
+        {"permutation_entropy": 6},
+    ),
+)
+
+# the sums of the discrete Fourier transform, frequency by frequency; w: the window, hann: one segment's weights
+_FOURIER = f"""WITH {q.BARS}, l AS (SELECT ticker, dates, {q.full(50, 'list({})', 'px_last')} AS w FROM bars),
+t AS (SELECT cast(range AS double) AS t, 0.5E0 - 0.5E0 * cos(2 * pi() * range / 50) AS h FROM range(50)),
+b AS (SELECT range AS k, list(cos(2 * pi() * range * t / 50) ORDER BY t) AS c, list(sin(2 * pi() * range * t / 50) ORDER BY t) AS s,
+  list(h * cos(2 * pi() * range * t / 50) ORDER BY t) AS hc, list(h * sin(2 * pi() * range * t / 50) ORDER BY t) AS hs,
+  sum(h * cos(2 * pi() * range * t / 50)) AS zc, sum(h * sin(2 * pi() * range * t / 50)) AS zs, sum(h * h) AS hh FROM range(26), t GROUP BY range)"""
+_BINS = ", f AS (SELECT ticker, dates, k, CASE WHEN k IN (0, 25) THEN 1 ELSE 2 END AS n, sqrt(pow(list_dot_product(w, c), 2) + pow(list_dot_product(w, s), 2)) AS x FROM l, b WHERE w IS NOT NULL)"
+_FFT = {"fft_mean": 3, "fft_var": 1, "fft_skew": 5, "fft_kurt": 4}
+numeric(
+    "fft_aggregated", _FFT,
+    _FOURIER + _BINS + """, m AS (SELECT ticker, dates, sum(n * x) / 50 AS fft_mean FROM f GROUP BY ticker, dates),
+d AS (SELECT ticker, dates, any_value(fft_mean) AS fft_mean, sum(n * pow(x - fft_mean, 2)) / 50 AS fft_var, sum(n * pow(x - fft_mean, 3)) / 50 AS m3, sum(n * pow(x - fft_mean, 4)) / 50 AS m4 FROM f JOIN m USING (ticker, dates) GROUP BY ticker, dates),
+g AS (SELECT l.ticker, l.dates, fft_mean, fft_var, sqrt(50 * 49E0) / 48 * m3 / pow(fft_var, 1.5) AS fft_skew, 49E0 / (48 * 47) * (51 * m4 / pow(fft_var, 2) - 147) AS fft_kurt FROM l LEFT JOIN d USING (ticker, dates))
+SELECT ticker, dates, """ + ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c, n in _FFT.items()) + " FROM g",
+)
+_POWER = """, c AS (SELECT ticker, dates, w, list_sum(w) / 50 AS mean FROM l WHERE w IS NOT NULL),
+f AS (SELECT ticker, dates, k, CASE WHEN k IN (0, 25) THEN 1 ELSE 2 END * (pow(list_dot_product(w, hc) - mean * zc, 2) + pow(list_dot_product(w, hs) - mean * zs, 2)) / hh AS x FROM c, b)"""
+numeric(
+    "fourier_entropy", {"fourier_entropy": 6},
+    _FOURIER + _POWER + """, s AS (SELECT ticker, dates, sum(x) AS total FROM f GROUP BY ticker, dates),
+e AS (SELECT ticker, dates, -sum(CASE WHEN x > 0 THEN x / total * ln(x / total) ELSE 0 END) AS e FROM f JOIN s USING (ticker, dates) GROUP BY ticker, dates)
+SELECT l.ticker, l.dates, round(e, 6) + 0.0 AS fourier_entropy FROM l LEFT JOIN e USING (ticker, dates)""",
+)
+numeric("spkt_welch_density", {"spkt_welch_density": 2}, _FOURIER + _POWER + " SELECT l.ticker, l.dates, round(x, 2) + 0.0 AS spkt_welch_density FROM l LEFT JOIN f ON f.ticker = l.ticker AND f.dates = l.dates AND k = 1")
+
+# pairs of templates of two and of three values that lie within r of each other, place by place
+_WINDOWS = f"WITH {q.BARS}, l AS (SELECT ticker, dates, {q.full(50, 'list({})', 'px_last')} AS w FROM bars), r AS (SELECT ticker, dates, w, 0.2E0 * list_aggregate(w, 'stddev_pop') AS r FROM l WHERE w IS NOT NULL)"
+_PLACES = ", i AS (SELECT ticker, dates, w, r, unnest(range(1, {last})) AS i FROM r), j AS (SELECT ticker, dates, i, abs(w[i] - w[j]) <= r AND abs(w[i + 1] - w[j + 1]) <= r AS two, j < 49 AND i < 49 AND abs(w[i] - w[j]) <= r AND abs(w[i + 1] - w[j + 1]) <= r AND abs(w[i + 2] - w[j + 2]) <= r AS three, i < 49 AND j < 49 AS inner_ FROM (SELECT *, unnest(range(1, {last})) AS j FROM i))"
+numeric(
+    "sample_entropy", {"sample_entropy": 6},
+    _WINDOWS + _PLACES.format(last=49) + """, n AS (SELECT ticker, dates, count(*) FILTER (WHERE two) - 48 AS two, count(*) FILTER (WHERE three) - 48 AS three FROM j GROUP BY ticker, dates)
+SELECT l.ticker, l.dates, CASE WHEN two > 0 AND three > 0 THEN round(-ln(three / cast(two AS double)), 6) + 0.0 END AS sample_entropy FROM l LEFT JOIN n USING (ticker, dates)""",
+)
+numeric(
+    "approximate_entropy", {"approx_entropy": 6},
+    _WINDOWS + _PLACES.format(last=50) + """, n AS (SELECT ticker, dates, i, count(*) FILTER (WHERE two) AS two, count(*) FILTER (WHERE three) AS three FROM j GROUP BY ticker, dates, i),
+p AS (SELECT ticker, dates, avg(ln(two / 49E0)) AS p2, avg(ln(three / 48E0)) FILTER (WHERE i < 49) AS p3 FROM n GROUP BY ticker, dates)
+SELECT l.ticker, l.dates, round(abs(p2 - p3), 6) + 0.0 AS approx_entropy FROM l LEFT JOIN p USING (ticker, dates)""",
+)
+# a phrase grows while it stands somewhere in the text before its own last letter
+numeric(
+    "lempel_ziv_complexity", {"lempel_ziv_complexity": None},
+    f"""WITH RECURSIVE {q.BARS}, l AS (SELECT ticker, dates, {q.full(50, 'list({})', 'px_last')} AS w FROM bars),
+x AS (SELECT ticker, dates, list_aggregate(list_transform(w, lambda v: CASE WHEN v > m THEN '1' ELSE '0' END), 'string_agg', '') AS x FROM (SELECT *, list_aggregate(w, 'median') AS m FROM l WHERE w IS NOT NULL)),
+p AS (SELECT ticker, dates, x, 1 AS phrases, 0 AS start, 1 AS size FROM x
+  UNION ALL SELECT ticker, dates, x, CASE WHEN old THEN phrases ELSE phrases + 1 END, CASE WHEN old THEN start ELSE start + size END, CASE WHEN old THEN size + 1 ELSE 1 END
+  FROM (SELECT *, contains(substr(x, 1, start + size - 1), substr(x, start + 1, size)) AS old FROM p WHERE start + size <= 50)),
+n AS (SELECT ticker, dates, cast(max(phrases) AS double) AS n FROM p GROUP BY ticker, dates)
+SELECT l.ticker, l.dates, n AS lempel_ziv_complexity FROM l LEFT JOIN n USING (ticker, dates)""",
+)
+
 # ------------------------------------------------------------------ fundamentals
 
 

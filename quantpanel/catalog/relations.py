@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from quantpanel.catalog import sql as q
 from quantpanel.catalog.features import rounded
 from quantpanel.operators import backtest, cleaning, labels, modelling, partitioning, signals
 from quantpanel.operators.technical import technical
-from quantpanel.session import scratch
+from quantpanel.session import scratch, written
 from quantpanel.sources import files
 from quantpanel.sources.bars import load_bars, load_index, predictions_of
 from quantpanel.streaming.bars import event_bars
@@ -47,10 +48,10 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.forward_fill(load_bars(spark, sf_dir)).select("ticker", "dates", "tot_debt_to_tot_eqy", "is_eps")
 
 
-@register("SELECT DISTINCT l_suppkey AS ticker FROM lineitem WHERE l_shipdate < DATE '1995-01-01' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_shipdate >= DATE '1995-01-01'")
+@register("SELECT DISTINCT l_suppkey AS ticker FROM lineitem WHERE l_shipdate < DATE '1998-01-01' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_shipdate >= DATE '1998-01-01'")
 def common_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = load_bars(spark, sf_dir)
-    return cleaning.common_tickers(b.where("dates < '1995-01-01'"), b.where("dates >= '1995-01-01'"))
+    return cleaning.common_tickers(b.where("dates < '1998-01-01'"), b.where("dates >= '1998-01-01'"))
 
 
 @register("SELECT DISTINCT cast(l_shipdate AS date) AS dates FROM lineitem UNION SELECT DISTINCT cast(o_orderdate AS date) FROM orders")
@@ -87,10 +88,10 @@ def newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.newest(load_bars(spark, sf_dir).select("ticker", "dates", "px_last"), 25, "ticker")
 
 
-@register(_with(q.BARS) + "SELECT ticker, dates, px_last, CASE WHEN dates < DATE '1995-01-01' THEN is_eps END AS is_eps FROM bars")
+@register(_with(q.BARS) + "SELECT ticker, dates, px_last, CASE WHEN dates < DATE '1998-01-01' THEN is_eps END AS is_eps FROM bars")
 def union_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = load_bars(spark, sf_dir).select("ticker", "dates", "px_last", "is_eps")
-    return cleaning.union_panels(b.where("dates < '1995-01-01'"), b.where("dates >= '1995-01-01'").drop("is_eps"))
+    return cleaning.union_panels(b.where("dates < '1998-01-01'"), b.where("dates >= '1998-01-01'").drop("is_eps"))
 
 
 @register(_with(q.BARS) + "SELECT ticker, dates, px_last, is_eps FROM bars WHERE dates >= DATE '1996-01-01'")
@@ -99,6 +100,28 @@ def drop_sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_sparse_columns(b.where("dates < '1996-01-01'"), b.where("dates >= '1996-01-01'"))[1]
 
 
+@register("SELECT p_partkey, p_size FROM part")
+def drop_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is null in every row goes, one that is null in most of them stays."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    return cleaning.drop_empty_columns(part.withColumn("p_none", F.when(F.col("p_size") < 0, 1)))
+
+
+@register(_with(q.BARS) + "SELECT ticker, dates, px_last FROM bars")
+def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named columns go, unknown names are passed over; the dividends column goes."""
+    b = load_bars(spark, sf_dir).select("ticker", "dates", "px_last", "is_eps", F.col("turnover").alias("dvd_sh_12m"))
+    return cleaning.drop_dividends(cleaning.drop_columns(b, "is_eps", "no_such_column"))
+
+
+@register(_with(q.BARS) + "SELECT ticker, dates, CASE WHEN cast(round(operating_roic * 100) AS integer) % 3 > 0 THEN px_last END AS px_last FROM bars")
+def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text, among them the vendor's sentinel and other text that is no number."""
+    bad = F.round(F.col("operating_roic") * 100).cast("int")
+    text = F.when(bad % 3 > 0, F.col("px_last").cast("string")).when(bad % 2 == 0, "#NAME?").otherwise("Infinity")
+    return cleaning.numeric(load_bars(spark, sf_dir).select("ticker", "dates", text.alias("px_last")), ["px_last"])
+
+
 @register("SELECT split_part(s_name, ' ', 1) AS ticker, min(s_suppkey) AS ordinal FROM supplier GROUP BY 1")
 def ticker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("ticker"), F.col("s_suppkey").alias("ordinal"))
@@ -142,6 +165,18 @@ def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_index(spark, path)
 
 
+@register(_with(q.INDEX) + "SELECT dates, px_last FROM idx WHERE day(dates) > 1")
+def tolerant_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, padded names in capitals, two-digit years in one half of the lines, and lines without a date or a price."""
+    path = scratch(spark)
+    date = F.when(F.month("dates") % 2 == 0, F.date_format("dates", "d.M.yy")).otherwise(F.date_format("dates", "yyyy-MM-dd"))
+    price = F.when(F.day("dates") == 1, F.lit("")).otherwise(F.format_string(" %s ", F.col("px_last").cast("string")))
+    lines = load_index(spark, sf_dir).select(F.concat(date, F.lit(","), price).alias("value")).unionByName(spark.createDataFrame([("# a note",), ("no date,5",)], "value string"))
+    head = spark.createDataFrame([("# made by hand",), ("  DATES , Px_Last",)], "value string")
+    head.coalesce(1).unionByName(lines.coalesce(1)).coalesce(1).write.text(path)
+    return files.read_index_tolerant(spark, path)
+
+
 # ------------------------------------------------------------------ labels
 
 DAYS = 20
@@ -213,6 +248,20 @@ def purged_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.purged_group_folds(panel, 5, gap=3)
 
 
+@register(
+    _with(*_EXCESS, "bars2 AS (SELECT ticker, dates, px_last FROM bars)")
+    + "SELECT ticker, dates, fold, role, CASE WHEN x IS NULL THEN NULL WHEN x >= quantile_cont(x, 0.75) OVER (PARTITION BY fold, role, dates) THEN 1 ELSE 0 END AS label FROM ("
+    f"SELECT f.*, e - index_returns_20 AS x FROM (SELECT ticker, dates, fold, role, (lead(px_last, {DAYS}) OVER (PARTITION BY ticker, fold, role ORDER BY dates) / nullif(px_last, 0) - 1) * 100 AS e FROM ("
+    "SELECT ticker, dates, px_last, cast(fold AS integer) AS fold, CASE WHEN p >= n - (5 - fold) * 60 AND p < n - (5 - fold) * 60 + 60 THEN 'test' WHEN p < n - (5 - fold) * 60 - 2 AND p >= n - (5 - fold) * 60 - 506 THEN 'train' END AS role "
+    f"FROM (SELECT *, row_number() OVER ({q.SERIES}) - 1 AS p, count(*) OVER (PARTITION BY ticker) AS n, unnest(range(5)) AS fold FROM bars2) WHERE n > 302) WHERE role IS NOT NULL) f LEFT JOIN fwd ON fwd.dates = f.dates)"
+)
+def label_per_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excess returns and labels worked out inside each fold and role: no return reaches over a fold's border."""
+    folds = partitioning.purged_folds(load_bars(spark, sf_dir).select("ticker", "dates", "px_last"), 5, 504, 60, 2)
+    out = labels.excess_to_labels(folds, load_index(spark, sf_dir), DAYS, quantile=0.75, keys=("ticker", "fold", "role"))
+    return out.select("ticker", "dates", "fold", "role", "label")
+
+
 N_TRAIN, N_VALID = 2, 1
 
 
@@ -319,12 +368,56 @@ def _backtest(spark: SparkSession, sf_dir: str, plan: str, capital: float = 1e9)
     return rounded(log, {c: 0 for c in ("mtm_value", "cum_realized_pnl", "cash", "invested_value", "total_equity")}, ("dates",))
 
 
-@register()
+_HOLD, _MOST = 20, 5
+_TRADES = [
+    *_PRED,
+    q.INDEX,
+    "cand AS (SELECT ticker, dates, px_last FROM sig WHERE predicted_sharpe > 0.6 AND px_last > 0)",
+    "bd AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT cast(range AS date) AS day FROM range(DATE '1990-01-01', DATE '2005-01-01', INTERVAL 1 DAY) WHERE isodow(range) <= 5))",
+    "base AS (SELECT c.*, b.i FROM cand c ASOF JOIN bd b ON c.dates >= b.day)",
+    f"due AS (SELECT base.*, b.day AS expected_close, b.i AS ci FROM base JOIN bd b ON b.i = base.i + {_HOLD})",
+    f"ends AS (SELECT f.first, b.day AS stop FROM (SELECT min(dates) AS first, max(i) AS i FROM base) f JOIN bd b ON b.i = f.i + {_HOLD + _MOST + 5})",
+    f"hit AS (SELECT d.ticker, d.dates, min(b.i) AS i FROM due d JOIN bd b ON b.i BETWEEN d.ci AND d.ci + {_MOST} JOIN bars p ON p.ticker = d.ticker AND p.dates = b.day, ends WHERE b.day <= stop GROUP BY 1, 2)",
+    "shut AS (SELECT h.ticker, h.dates, b.day AS exit_date, p.px_last AS exit_price FROM hit h JOIN bd b ON b.i = h.i JOIN bars p ON p.ticker = h.ticker AND p.dates = b.day)",
+    "full_ AS (SELECT d.*, s.exit_date, s.exit_price FROM due d LEFT JOIN shut s USING (ticker, dates))",
+    "lvin AS (SELECT f.*, x.px_last AS index_in FROM full_ f ASOF LEFT JOIN idx x ON f.dates >= x.dates)",
+    "lvout AS (SELECT f.*, x.px_last AS index_out FROM lvin f ASOF LEFT JOIN idx x ON f.exit_date >= x.dates)",
+    "trade AS (SELECT ticker, dates, 1e6 / px_last AS quantity, expected_close, 1e6 * coalesce((exit_price / px_last - 1) * 100 - (index_out / nullif(index_in, 0) - 1) * 100, 0) / 100 AS profit FROM lvout)",
+    "cal AS (SELECT dates FROM (SELECT dates FROM cand UNION SELECT dates FROM bars), ends WHERE dates BETWEEN first AND stop)",
+]
+
+
+def _log_sql(taken: str, capital: str, *more: str) -> str:
+    """The log of the trades taken: what is open, what has been closed, and what it is worth, a row a day."""
+    return (
+        _with(
+            *_TRADES, *more,
+            f"t AS (SELECT k.*, c.dates AS closed FROM {taken} k ASOF LEFT JOIN cal c ON k.expected_close <= c.dates)",
+            "ins AS (SELECT dates, count(*) AS n FROM t GROUP BY dates)",
+            "outs AS (SELECT closed AS dates, count(*) AS n, sum(profit) AS profit FROM t WHERE closed IS NOT NULL GROUP BY closed)",
+            "worth AS (SELECT c.dates, sum(coalesce(t.quantity * p.px_last, 1e6)) AS w FROM cal c JOIN t ON t.dates <= c.dates AND c.dates < coalesce(t.closed, DATE '2100-01-01') LEFT JOIN bars p ON p.ticker = t.ticker AND p.dates = c.dates GROUP BY c.dates)",
+            "run AS (SELECT c.dates, coalesce(w, 0) AS w, sum(coalesce(o.profit, 0)) OVER (ORDER BY c.dates) AS pnl, sum(coalesce(i.n, 0) - coalesce(o.n, 0)) OVER (ORDER BY c.dates) AS open FROM cal c LEFT JOIN ins i USING (dates) LEFT JOIN outs o USING (dates) LEFT JOIN worth USING (dates))",
+        ).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f"SELECT dates, round({capital} + pnl - open * 1e6 + w, 0) + 0.0 AS mtm_value, round(pnl, 0) + 0.0 AS cum_realized_pnl, round({capital} + pnl - open * 1e6, 0) + 0.0 AS cash, round(open * 1e6, 0) + 0.0 AS invested_value, round({capital} + pnl, 0) + 0.0 AS total_equity FROM run"
+    )
+
+
+@register(_log_sql("trade", "1e9"))
 def backtest_unconstrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backtest(spark, sf_dir, "unconstrained")
 
 
-@register()
+# day by day: what is due is paid back with its profit, then as many of the day's candidates are opened, by ticker, as cash allows
+_CASH = [
+    "days AS (SELECT c.dates, row_number() OVER (ORDER BY c.dates) AS n, list(struct_pack(ticker := t.ticker, dates := t.dates, close := t.expected_close, profit := t.profit) ORDER BY t.ticker) FILTER (WHERE t.ticker IS NOT NULL) AS wanted FROM cal c LEFT JOIN trade t ON t.dates = c.dates GROUP BY c.dates)",
+    "sim AS (SELECT cast(0 AS bigint) AS n, 2e7::double AS cash, [x for x in (SELECT any_value(wanted) FROM days WHERE wanted IS NOT NULL) if false] AS held, [x for x in (SELECT any_value(wanted) FROM days WHERE wanted IS NOT NULL) if false] AS taken"
+    " UNION ALL SELECT n, cash - 1e6 * len(taken), list_concat(kept, taken), taken FROM (SELECT n, cash, kept, wanted[1:greatest(0, floor(cash / 1e6))::bigint] AS taken FROM ("
+    "SELECT d.n, s.cash + coalesce(list_sum([1e6 + x.profit for x in s.held if x.close <= d.dates]), 0) AS cash, [x for x in s.held if x.close > d.dates] AS kept, coalesce(d.wanted, [x for x in s.held if false]) AS wanted FROM sim s JOIN days d ON d.n = s.n + 1)))",
+    "picked AS (SELECT t.* FROM (SELECT unnest(taken, recursive := true) FROM sim) u JOIN trade t ON t.ticker = u.ticker AND t.dates = u.dates)",
+]
+
+
+@register(_log_sql("picked", "2e7", *_CASH))
 def backtest_cash_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backtest(spark, sf_dir, "constrained", 2e7)
 
@@ -341,27 +434,39 @@ def benchmark_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ models
 
 
-def _learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = technical(load_bars(spark, sf_dir), roc=[10], volatility=[20], price_vs_sma=[20])
-    rows = labels.excess_returns(panel, load_index(spark, sf_dir), DAYS).na.drop("any", subset=["roc_10", "volatility_20", "price_div_sma_20", "excess_returns_20"])
-    return partitioning.purged_folds(rows, 2, 120, 60, 2)
+FEATURES = ["roc_10", "volatility_20", "price_div_sma_20"]
+N_FOLDS = 5
 
 
-FEATURES = ["roc_10", "volatility_20", "price_div_sma_20"]
+def _learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and targets in five folds of at most 504 training rows and 60 test rows a ticker, two rows apart."""
+    panel = technical(load_bars(spark, sf_dir), roc=[10], volatility=[20], price_vs_sma=[20])
+    rows = labels.excess_returns(panel, load_index(spark, sf_dir), DAYS).na.drop("any", subset=[*FEATURES, "excess_returns_20"])
+    return written(partitioning.purged_folds(rows, N_FOLDS, 504, 60, 2))
 
 
 @register()
 def quantile_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forest a fold; every fold's test rows are predicted."""
     folds = _learning(spark, sf_dir)
-    model = modelling.fit_quantile_forest(partitioning.fold_part(folds, 0, "train"), FEATURES, "excess_returns_20", trees=10, depth=5)
-    return model.predict(partitioning.fold_part(folds, 0, "test"), ["ticker", "dates"])
+
+    def fold(k: int) -> DataFrame:
+        model = modelling.fit_quantile_forest(partitioning.fold_part(folds, k, "train"), FEATURES, "excess_returns_20", trees=10, depth=5)
+        return model.predict(partitioning.fold_part(folds, k, "test"), ["ticker", "dates"]).withColumn("fold", F.lit(k))
+
+    return reduce(DataFrame.unionByName, map(fold, range(N_FOLDS)))
 
 
 @register()
 def bin_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One classifier a fold; the score of every fold."""
     folds = _learning(spark, sf_dir)
-    train, test = (modelling.quantile_bins(partitioning.fold_part(folds, 0, r), "excess_returns_20") for r in ("train", "test"))
-    return modelling.macro_f1(modelling.fit_classifier(train, FEATURES, "bin", trees=10, depth=5)(test), "bin", "predicted_class")
+
+    def fold(k: int) -> DataFrame:
+        train, test = (modelling.quantile_bins(partitioning.fold_part(folds, k, r), "excess_returns_20") for r in ("train", "test"))
+        return modelling.macro_f1(modelling.fit_classifier(train, FEATURES, "bin", trees=10, depth=5)(test), "bin", "predicted_class").withColumn("fold", F.lit(k))
+
+    return reduce(DataFrame.unionByName, map(fold, range(N_FOLDS)))
 
 
 @register(
