@@ -1,14 +1,19 @@
 """HTML extraction by two-pass block rules.
 
-Pass 1 decides blocks by themselves: by where they stand (menus, headers, footers, sidebars, notices, adverts, forms, comments), by
-link density, length and stop-word density. Pass 2 lets the short blocks that remain inherit the label of the nearest decided
-neighbours. Each page is judged alone, in one pass over its tags, so partitions need no exchange.
+Pass 1 decides blocks by themselves: by link density, length and stop-word density, with where they stand as one more sign (menus,
+headers, footers, sidebars, notices, adverts, forms, comments). Stop words are known for a few languages; on a page whose long blocks
+have hardly any of them they are learned from the page (its words that most blocks share), and where that is not possible length and
+links decide alone. A class or id that names something other than the article counts against a container, not for certain: a container
+that holds nearly all prose of the page is the article whatever its name, and under a name that articles use too (`related-work`) a
+block that reads as text stays. Pass 2 lets the short blocks that remain inherit the label of the nearest decided neighbours. Each page
+is judged alone, in time linear in its length, so partitions need no exchange.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,68 +46,91 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AWAY = frozenset("aside button canvas datalist dialog footer form head label map menu nav noscript object search select svg template audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class, id or role that name something other than the article.
+# Words of class, id or role that name something other than the article; the second list, those that articles use too.
 AWAY_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner billboard breadcrumb breadcrumbs byline complementary consent contentinfo cookie "
-    "cookies comment comments commentlist disclaimer discussion disqus footer footnav gdpr hidden legal login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notification notifications pager pagination paywall popup privacy promo promotion promoted recommend recommendations recommended related "
-    "replies reply respond responses rss search share sharing shares sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud "
-    "taboola teaser toolbar topbar trending warning widget widgets alert announcement outbrain overlay".split()
+    "cookies comment comments commentlist disclaimer disqus footer footnav gdpr hidden login masthead menu menubar modal nav navbar navigation "
+    "newsletter notification notifications pager pagination paywall popup privacy promo promoted recommend recommendations recommended "
+    "replies reply responses rss sharing shares sidebar sidenav signup skip sponsor sponsored subscribe subscription tagcloud "
+    "taboola teaser toolbar topbar trending widget widgets outbrain".split()
 )
+UNSURE_WORDS = frozenset("alert announcement discussion legal notice overlay promotion related respond search share social warning".split())
 KEPT_IN_ARTICLE = frozenset({"header", "label"})  # words and tags that are harmless inside an article
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>)""", re.S)
+# an attribute's quotes may hold < and >; outside of them a < ends a broken tag, so that no text is looked through twice
+TAG = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"'])*+)>|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>)""", re.S
+)
 HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 UNSEEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-WORD = re.compile(r"[^\W\d_]+")
+# a run of letters; letters of scripts without spaces stand alone
+WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]|[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
-LINKS_BAD, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.35, 0.12, 0.25, 70, 140
+LINKS_BAD, LINKS_BAD_HOME, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.35, 0.66, 0.12, 0.25, 70, 140
+KNOWN_LANGUAGE = 0.05  # share of known stop words in the long blocks of a page, below which they are learned
+LEARNED = 40  # stop words learned, from LEARN_FROM blocks or more
+LEARN_FROM = 4
+ALL_PROSE = 0.9  # a container with this share of a page's prose is no menu, whatever its name
+RULES = frozenset({"stop words", "links", "length", "neighbours"})
 
 
 @dataclass
 class Block:
     tag: str
-    away: bool
+    away: bool  # by its tags
+    named: int  # innermost container whose name speaks against it, -1 if none
     home: bool  # inside an article or main element
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     text: str = ""
-    label: str = ""
+    links: int = 0
+    words: list[str] = field(default_factory=list)
 
 
-def _away(tag: str, attributes: str, in_home: bool) -> bool:
+def _away(tag: str, attributes: str, in_home: bool) -> tuple[bool, str]:
+    """Whether the tag or a hiding attribute excludes, and what the names say: "", "unsure" or "away"."""
     if tag in AWAY and not (in_home and tag in KEPT_IN_ARTICLE):
-        return True
-    if tag == "header":
-        return not in_home
+        return True, ""
+    if tag == "header" and not in_home:
+        return True, ""
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, ""
     if UNSEEN.search(attributes):
-        return True
+        return True, ""
+    says = ""
     for value in HINT.findall(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
         words = set(re.split(r"[^a-z0-9]+", value.lower()))
         if tag == "article":
             words &= {"comment", "comments", "reply", "ad", "ads", "sponsored", "promoted", "related", "teaser"}
         if words & AWAY_WORDS or (not in_home and "header" in words):
-            return True
-    return False
+            return False, "away"
+        if words & UNSURE_WORDS:
+            says = "unsure"
+    return False, says
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, with where they stand. Unclosed and stray tags are tolerated."""
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
+    """The page's text blocks in order, with where they stand, and the named containers (the one around it, whether its name is sure).
+    Unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, away from here on, home from here on
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, away, named container and home from here on
+    opened: Counter[str] = Counter()
+    containers: list[tuple[int, bool]] = []
     links = 0
-    block = Block("body", False, False)
+    block = Block("body", False, -1, False)
+
+    def leave(to: int) -> None:
+        for tag, *_ in stack[to:]:
+            opened[tag] -= 1
+        del stack[to:]
 
     def fresh(tag: str) -> None:
         nonlocal block
         if block.parts:
             out.append(block)
-        away, home = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        block = Block(tag, away, home)
+        block = Block(tag, *(stack[-1][1:] if stack else (False, -1, False)))
 
     def add(text: str) -> None:
         if text:
@@ -124,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in RAW and not closing:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^<>]*+>?", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
         if tag == "a":
@@ -140,13 +168,13 @@ def blocks_of(page: str) -> list[Block]:
             if tag in VOID or not (attributes or closing):
                 continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            else:
-                if not structural:
-                    continue
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                leave(i)
+            elif not structural:
+                continue
             fresh(tag if structural else block.tag)
             links = 0 if structural else links
             continue
@@ -154,17 +182,21 @@ def blocks_of(page: str) -> list[Block]:
             fresh(tag)
             continue
         if tag in BLOCK and stack and stack[-1][0] == "p":
-            stack.pop()  # a paragraph ends where a block begins
+            leave(-1)  # a paragraph ends where a block begins
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-            stack.pop()
+            leave(-1)
         if tag == "body":
             while stack and stack[-1][0] == "head":
-                stack.pop()
-        away, home = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        own = _away(tag, attributes, home)
-        if not structural and not own:
+                leave(-1)
+        away, named, home = stack[-1][1:] if stack else (False, -1, False)
+        own, says = _away(tag, attributes, home)
+        if not structural and not own and not says:
             continue
-        stack.append((tag, away or own, home or tag in ("article", "main") or "articlebody" in attributes.lower()))
+        if says:
+            containers.append((named, says == "away"))
+            named = len(containers) - 1
+        stack.append((tag, away or own, named, home or tag in ("article", "main") or "articlebody" in attributes.lower()))
+        opened[tag] += 1
         fresh(tag)
         if structural:
             links = 0
@@ -174,54 +206,98 @@ def blocks_of(page: str) -> list[Block]:
     for b in out:
         b.text = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
         if b.text:
+            b.links = sum(map(len, b.linked))
+            b.words = WORD.findall(b.text.lower())
             kept.append(b)
-    return kept
+    return kept, containers
+
 
+def stop_words_of(blocks: list[Block]) -> frozenset[str] | None:
+    """The known stop words; those learned from the page where its long blocks hardly hold any; None if there are too few of them."""
+    long = [b.words for b in blocks if not b.away and len(b.text) >= LONG and b.links <= LINKS_BAD * len(b.text)]
+    total = sum(map(len, long))
+    if sum(w in STOP_WORDS for words in long for w in words) >= KNOWN_LANGUAGE * total and total:
+        return STOP_WORDS
+    if len(long) < LEARN_FROM:
+        return None
+    often = Counter(w for words in long for w in set(words))
+    return frozenset(w for w, n in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:LEARNED] if 2 * n >= len(long))
 
-def _decide(block: Block, only_home: bool) -> str:
+
+def _reads_as_text(block: Block, stops: frozenset[str] | None, rules: frozenset[str]) -> str:
     """good, bad, or short where length leaves it open."""
-    if block.away or (only_home and not block.home):
-        return "bad"
     n = len(block.text)
-    if sum(map(len, block.linked)) > LINKS_BAD * n:
+    if "links" in rules and block.links > (LINKS_BAD_HOME if block.home else LINKS_BAD) * n:
         return "bad"
-    words = WORD.findall(block.text.lower())
-    if not words:
-        return "short" if n < SHORT else "bad"
-    density = sum(w in STOP_WORDS for w in words) / len(words)
-    if n < SHORT:
+    short = n < SHORT if "length" in rules else False
+    if short:
         return "short"
-    if density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG) or block.home:
+    if block.home:
+        return "good"  # an article's tables, lists and figures are its own
+    if not block.words:
+        return "bad"
+    if stops is None or "stop words" not in rules:
+        return "good" if n >= LONG else "short"
+    density = sum(w in stops for w in block.words) / len(block.words)
+    if density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG):
         return "good"
-    return "short" if n < LONG else "bad" if density < STOP_LOW / 4 and n < 4 * LONG else "good"
+    return "short" if n < LONG and density >= STOP_LOW / 4 else "bad" if density < STOP_LOW / 4 and n < 4 * LONG else "good"
+
 
+def _stays_away(blocks: list[Block], labels: list[str], containers: list[tuple[int, bool]]) -> list[bool]:
+    """Of each named container, whether it or one around it excludes what it holds; an unsure name alone does not."""
+    prose, total = [0] * len(containers), 0
+    for b, label in zip(blocks, labels, strict=True):
+        if label == "good" and not b.away:
+            total += len(b.text)
+            if b.named >= 0:
+                prose[b.named] += len(b.text)
+    for i in range(len(containers) - 1, -1, -1):
+        if containers[i][0] >= 0:
+            prose[containers[i][0]] += prose[i]
+    out: list[bool] = []
+    for i, (around, sure) in enumerate(containers):
+        out.append((around >= 0 and out[around]) or (sure and prose[i] < ALL_PROSE * max(total, 1)))
+    return out
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by two line feeds. Null or empty: empty."""
+
+def _nearest(labels: list[str], blocks: list[Block]) -> list[tuple[str, int]]:
+    """Of each block, the label of the nearest decided one before it on its side of the article's border, and the text between them. Inside
+    an article a bad block decides nothing: it is a box in the text."""
+    out, label, far = [], "", 0
+    for i, b in enumerate(blocks):
+        if i and b.home != blocks[i - 1].home:
+            label, far = "", 0
+        out.append((label, far))
+        if labels[i] != "short" and not (b.home and labels[i] == "bad"):
+            label, far = labels[i], 0
+        else:
+            far += len(b.text)
+    return out
+
+
+def main_text(page: str | None, rules: frozenset[str] = RULES) -> str:
+    """The article's blocks, joined by two line feeds. Null or empty: empty. rules: those that are in force (all but in tests)."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    only_home = any(b.home and not b.away for b in blocks)
-    labels = [_decide(b, only_home) for b in blocks]
-    sizes = [len(b.text) for b in blocks]
-
-    def neighbour(i: int, step: int) -> tuple[str, int]:
-        far = 0
-        j = i + step
-        while 0 <= j < len(blocks) and blocks[j].home == blocks[i].home:
-            if labels[j] != "short" and not (blocks[i].home and labels[j] == "bad"):
-                return labels[j], far
-            far += sizes[j]
-            j += step
-        return "", far
-
+    blocks, containers = blocks_of(page)
+    stops = stop_words_of(blocks)
+    reads = [_reads_as_text(b, stops, rules) for b in blocks]
+    away = _stays_away(blocks, reads, containers)
+    outside = [b.away or (b.named >= 0 and (away[b.named] or (not containers[b.named][1] and label != "good"))) for b, label in zip(blocks, reads, strict=True)]
+    only_home = any(b.home and not out for b, out in zip(blocks, outside, strict=True))
+    outside = [out or (only_home and not b.home) for b, out in zip(blocks, outside, strict=True)]
+    labels = ["bad" if out else label for label, out in zip(reads, outside, strict=True)]
+    if "neighbours" in rules:
+        before, after = _nearest(labels, blocks), _nearest(labels[::-1], blocks[::-1])[::-1]
+    else:
+        before = after = [("", 0)] * len(blocks)
     final = []
     for i, b in enumerate(blocks):
+        (left, near_left), (right, near_right) = before[i], after[i]
         if labels[i] != "short":
             final.append(labels[i])
-            continue
-        (left, near_left), (right, near_right) = neighbour(i, -1), neighbour(i, 1)
-        if not left and not right:
+        elif not left and not right:
             final.append("good" if b.home else "bad")
         elif b.tag in HEADINGS and right:
             final.append(right)
@@ -231,6 +307,8 @@ def main_text(page: str | None) -> str:
             final.append(right)
         else:
             final.append("good" if near_left == near_right else left if near_left < near_right else right)
+    if "good" not in final and "neighbours" in rules:  # a page of short blocks alone: there is no text that they could stand beside
+        final = ["good" if label == "short" and b.words else "bad" for label, b in zip(labels, blocks, strict=True)]
     return "\n\n".join(b.text for b, label in zip(blocks, final, strict=True) if label == "good")
 
 
