@@ -1,7 +1,7 @@
 """Fast exact encoding with a lower-casing BPE of words that drops white space, such as `word_bpe_49k.json`.
 
 A text is cut at U+0020 and U+000A. Each distinct piece is encoded once, by the tokenizer itself and in batches, and kept in a
-bounded cache. Texts of Latin-1 letters are lower-cased first and lose the stop or comma behind a word to a piece of its own, which
+bounded cache. Texts of Latin-1 letters without the "<|" of special tokens are lower-cased first and lose the stop or comma behind a word to a piece of its own, which
 makes far fewer distinct pieces; the tokenizer does both anyway. tests/llm compare the ids with those of whole texts.
 """
 
@@ -13,8 +13,9 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: A stop or comma at a piece's end that has no letter before it.
+SMALL_LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 LOOSE_MARK = re.compile(r"[.,](?<![a-zà-öø-ÿ][.,])(?=[ \n]|\Z)")
 
 
@@ -49,7 +50,7 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         text, special = self.mark
-        words = [p for p in new if p.isalpha() and p.islower() and (p.isascii() or (max(p) <= "\xff" and p.lower() == p))]
+        words = [p for p in new if SMALL_LETTERS(p)]
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
             ids = self._ids(self.letters, " ".join(part))
@@ -66,7 +67,7 @@ class WordEncoder:
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
-        if text.isascii() or max(text) <= "\xff":
+        if "<|" not in text and (text.isascii() or max(text) <= "\xff"):  # special tokens are told apart by case
             small = text.lower()
             text = small
             if not LOOSE_MARK.search(small):
