@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quantpanel-")
         spark.sparkContext.setCheckpointDir(named)
@@ -51,8 +51,9 @@ def remove_later(spark: SparkSession, path: str) -> None:
     atexit.register(remove_at_exit, spark, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing. And the
+    folder, for remove() once nothing reads it any more; otherwise it goes when this process ends.
 
     Column names may repeat Parquet-unsafe characters only if the caller's do; the schema is kept as it is.
     """
@@ -60,7 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quantpanel-{uuid.uuid4().hex}"
     df.write.parquet(path)
     remove_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """stored() without the folder."""
+    return stored(df)[0]
 
 
 def ascii_lower(text: Column) -> Column:

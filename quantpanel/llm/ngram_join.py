@@ -15,7 +15,8 @@ Plan.
    them, and pairs of nodes that already are one component; what remains is compared exactly. Before that, a few central sets
    (those of the most shared shingles) are compared with all others, as copies usually are near one original and not near each
    other. A cluster too large for a task is cut into blocks by hash: each block nominates central sets; the best of the cluster go
-   to every block, which is then joined; and where a cluster still is in several components, all pairs of blocks are joined, known
+   to every block, which is then joined; and where a cluster still is in several components, its sets are dealt anew, into blocks of
+   a size class. The roots' size ranges then prune the pairs of blocks: only those of one class or of neighbouring ones are joined, known
    components costing nothing. So nothing is lost and copies do not meet pairwise.
 4. The links found (a forest a task) give the components; members of equal sets follow their class.
 """
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, give_back, mix64, text_slices, union_find
+from quantpanel.llm.common import cut, give_back, mix64, remove, stored, text_slices, union_find
 from quantpanel.llm.components import components
 from quantpanel.session import ship_package
 
@@ -51,7 +52,7 @@ CENTRES, SHARED_CENTRES = 8, 16
 PART_TOKENS = 6_000_000
 #: Common shingles: found where HEAVY_BATCH sets of a batch share one, the HEAVY_KEPT most common of them, as flags of slots. A hint
 #: for routing of bounded size; any set of flags gives the same result.
-HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS = 3, 400_000, 1 << 23
+HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS, HEAVY_STEPS = 3, 400_000, 1 << 23, 1 << 16
 RICH = 1.5  # shingles a part that are not common, for a set to be cut without the common ones
 
 
@@ -395,10 +396,20 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiled = cut(source.mapInArrow(partial(_profile, n=words), "id long, n long, s0 long, s1 long, doc boolean"))
     profile = profiled.where("doc").drop("doc")
-    common = profiled.where("not doc").groupBy("s0").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "s0").limit(HEAVY_KEPT)
+    shared, shared_path = stored(profiled.where("not doc").groupBy("s0").agg(F.sum("n").alias("n")))
+    # the least count of which there are no more than HEAVY_KEPT shingles, by a histogram of counts rather than a sort
+    steps = sorted(((r["n"], r["count"]) for r in shared.groupBy(F.least("n", F.lit(HEAVY_STEPS)).alias("n")).count().collect()), reverse=True)
+    least, held = HEAVY_STEPS + 1, 0
+    for times, many in steps:
+        held += many
+        if held > HEAVY_KEPT:
+            break
+        least = times
+    common = shared.where(F.col("n") >= least)
     flags = np.zeros(HEAVY_SLOTS, bool)
     flags[(common.select("s0").toPandas()["s0"].to_numpy("i8").view(np.uint64) % np.uint64(HEAVY_SLOTS)).astype(np.int64)] = True
     heavy = spark.sparkContext.broadcast(np.packbits(flags).tobytes())
+    remove(spark, shared_path)
     known = profile.where("id is not null and n > 0")
     classes = known.groupBy("n", "s0", "s1").agg(F.min("id").alias("node"))
 
@@ -408,7 +419,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     met = routed.repartition(parts, "key").mapInArrow(_meet, "a long, b long")
     clusters = components(met).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
-    edges = _join_clusters(source, clusters, words, percent, block_rows, block_chars)
+    edges = _join_clusters(source, clusters, known.select("id", "n").distinct(), words, percent, block_rows, block_chars)
     # the links are between ids; classes of equal sets are tied by their smallest ids
     member = known.join(classes, ["n", "s0", "s1"]).select("id", "node")
     own = member.groupBy("id").agg(F.min("node").alias("node"), F.max("node").alias("other"))
@@ -420,7 +431,30 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
 
 
-def _join_clusters(source: DataFrame, clusters: DataFrame, words: int, percent: int, block_rows: int, block_chars: int) -> DataFrame:
+def _pairs_of_blocks(sets: DataFrame, percent: int, block_rows: int, block_chars: int) -> DataFrame:
+    """sets (id, cluster, n, chars, ...) with the columns c, d, i, j of each pair of blocks that a set takes part in.
+
+    A block is a size class and a share of its sets by hash. Linked sets lie in one class or in two neighbouring ones (size_classes()).
+    """
+    bounds = F.array(*(F.lit(b) for b in size_classes(percent, 1 << 40)))
+    sets = sets.withColumn("cls", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
+    per = sets.groupBy("cluster", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars"))
+    parts = F.ceil(F.greatest(F.col("rows") / F.lit(block_rows), F.col("chars") / F.lit(block_chars), F.lit(1.0))).cast("int")
+    per = cut(per.select("cluster", "cls", parts.alias("parts")))
+    near = lambda step, name: per.select("cluster", (F.col("cls") + step).alias("cls"), F.col("parts").alias(name))
+    sets = sets.join(per, ["cluster", "cls"]).join(near(-1, "above"), ["cluster", "cls"], "left").join(near(1, "below"), ["cluster", "cls"], "left")
+    own, cls = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("cls")
+    pair = lambda c, d, i, j: F.struct(c.alias("c"), d.alias("d"), i.alias("i"), j.alias("j"))
+    each = lambda m, f: F.when(F.col(m).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(m) - 1), f)).otherwise(F.array())
+    pairs = F.concat(
+        each("parts", lambda p: pair(cls, cls, F.least(own, p), F.greatest(own, p))),
+        each("above", lambda p: pair(cls, cls + 1, own, p)),
+        each("below", lambda p: pair(cls - 1, cls, p, own)),
+    )
+    return sets.withColumn("pair", F.explode(pairs)).select("*", "pair.*").drop("pair", "parts", "above", "below", "cls")
+
+
+def _join_clusters(source: DataFrame, clusters: DataFrame, lengths: DataFrame, words: int, percent: int, block_rows: int, block_chars: int) -> DataFrame:
     """Links between the members of each cluster (a, b), enough to connect all that are linked."""
     clusters = cut(clusters)
     full = source.where("id is not null")
@@ -448,9 +482,12 @@ def _join_clusters(source: DataFrame, clusters: DataFrame, words: int, percent:
     rest = state.join(open_, "cluster", "left_semi")
     if rest.isEmpty():
         return edges
-    pairs = full.join(rest, "id").withColumn("centre", F.lit(False)).withColumn("o", block).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.where("o <> p").withColumn("i", F.least("o", "p")).withColumn("j", F.greatest("o", "p"))
-    return edges.unionByName(cut(link(pairs, "i", "j")))
+    chars = full.groupBy("id").agg(F.sum(F.length("text")).alias("chars"))
+    # rows that repeat an id may hold sets of several sizes: all go to the blocks of each size
+    open_sets = rest.join(chars, "id").join(lengths, "id").select("id", "cluster", "known", "n", "chars")
+    pairs = _pairs_of_blocks(open_sets, percent, block_rows, block_chars).select("id", "cluster", "known", "c", "d", "i", "j").distinct()
+    pairs = full.join(pairs, "id").withColumn("centre", F.lit(False))
+    return edges.unionByName(cut(link(pairs, "c", "d", "i", "j")))
 
 
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
