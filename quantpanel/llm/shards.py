@@ -15,6 +15,8 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantpanel.llm.common import remove_at_exit
 
@@ -28,8 +30,10 @@ class Conflict(RuntimeError):
 class ShardStore:
     """read() gives exactly the rows appended so far: null, repeated, empty and very long ones too; extra columns stay as they are.
 
-    All arrivals must have the columns of the first one (any order). An empty arrival is a version without new shards. Reading
-    a store without any arrival raises ValueError.
+    All arrivals must have the columns of the first one, of the same types and in any order; append() raises ValueError otherwise. An
+    empty arrival is a version without new shards. Reading a store without any arrival raises ValueError. Any number of writers may append
+    and compact at a time: who comes late commits on top of the newest version, and a merge whose inputs another writer has merged
+    meanwhile is thrown away and planned anew.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, codec: str = "zstd") -> None:
@@ -100,19 +104,36 @@ class ShardStore:
                 out.append({"path": f"{folder}/{name}", "bytes": int(x.getLen()), "tier": self.tier(int(x.getLen()))})
         return sorted(out, key=lambda s: s["path"])
 
-    def append(self, rows: DataFrame, retries: int = 5) -> dict:
+    def append(self, rows: DataFrame, retries: int = 50) -> dict:
         """Adds an arrival as small shards, one a partition of rows; committed as a new version."""
+        base = self.manifest()
+        rows = self._fitting(rows, base["schema"])
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.option("compression", self.codec).parquet(f"{self.root}/{folder}")
         new, schema = self._written(folder), rows.schema.json()
-        for attempt in range(retries):
-            base = self.manifest()
+        for _ in range(retries):
             try:
                 return self._commit(base, base["shards"] + new, base["schema"] or schema, "append")
             except Conflict:
-                if attempt == retries - 1:
+                base = self.manifest()
+                try:
+                    self._fitting(rows, base["schema"])  # the other writer's arrival may have been the first one
+                except ValueError:
+                    self._fs.delete(self._path(folder), True)
                     raise
-        raise AssertionError
+        self._fs.delete(self._path(folder), True)
+        raise Conflict(f"{retries} other writers were first")
+
+    @staticmethod
+    def _fitting(rows: DataFrame, schema: str | None) -> DataFrame:
+        """rows with their columns in the store's order; ValueError if they are others."""
+        if schema is None:
+            return rows
+        want = {f["name"]: f["type"] for f in json.loads(schema)["fields"]}
+        have = {f.name: f.dataType.jsonValue() for f in rows.schema.fields}
+        if want != have or len(rows.columns) != len(want):
+            raise ValueError(f"the store's columns are {want}, the arrival's {have}")
+        return rows.select(*(F.col(f"`{c}`") for c in want))
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
         """Runs to merge: in each tier below the target with at least `fanout` shards, similarly sized ones up to the target."""
@@ -133,24 +154,47 @@ class ShardStore:
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def compact(self) -> dict:
+    def compact(self, retries: int = 50) -> dict:
         """Merges until no tier has a run to merge; every round is committed by itself, so a crash loses one round at most."""
-        state = self.manifest()
+        state, lost = self.manifest(), 0
         while runs := self.plan(state["shards"]):
-            made: list[dict] = []
+            folders, made = [], []
             for i in range(0, len(runs), RUNS_A_JOB):
-                folder = f"data/{uuid.uuid4().hex}"
+                folders.append(f"data/{uuid.uuid4().hex}")
                 merged = reduce(DataFrame.union, (self._read([s["path"] for s in run], state["schema"]).coalesce(1) for run in runs[i : i + RUNS_A_JOB]))
-                merged.write.option("compression", self.codec).parquet(f"{self.root}/{folder}")
-                made += self._written(folder)
+                try:
+                    merged.write.option("compression", self.codec).parquet(f"{self.root}/{folders[-1]}")
+                except Exception:  # its inputs may have been merged and removed by another writer
+                    if self._listed(runs, self.manifest()):
+                        raise
+                    break
+                made += self._written(folders[-1])
             gone = {s["path"] for run in runs for s in run}
-            latest = self.manifest()  # appends that came meanwhile stay
-            state = self._commit(latest, [s for s in latest["shards"] if s["path"] not in gone] + made, latest["schema"], f"merge of {len(runs)} runs")
+            while self._listed(runs, latest := self.manifest()):  # appends that came meanwhile stay
+                try:
+                    state = self._commit(latest, [s for s in latest["shards"] if s["path"] not in gone] + made, latest["schema"], f"merge of {len(runs)} runs")
+                    break
+                except Conflict:
+                    lost += 1
+                    if lost > retries:
+                        self._drop(folders)
+                        raise
+            else:  # another writer has merged some of the inputs: this merge would add their rows once more
+                self._drop(folders)
+                state, lost = latest, lost + 1
+                if lost > retries:
+                    raise Conflict(f"{retries} other writers were first")
         return state
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
+    @staticmethod
+    def _listed(runs: list[list[dict]], state: dict) -> bool:
+        return {s["path"] for run in runs for s in run} <= {s["path"] for s in state["shards"]}
+
+    def _drop(self, folders: list[str]) -> None:
+        for folder in folders:
+            self._fs.delete(self._path(folder), True)
 
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
         if not paths:
             return self.spark.createDataFrame([], kind)
