@@ -6,8 +6,9 @@ languages that contain it. A text is scored by the popcount of each language ove
 positives (fill of its slice to the power k), and the largest corrected share decides.
 
 Training takes a bounded sample of the labelled rows (`per_lang` rows a language, those of the smallest hash of id and language,
-over the whole table): the n-grams that are clearly more frequent in one language than on average, the most telling first.
-The model, `slots` bytes and a few numbers, goes to the workers; its size does not depend on the corpus.
+over the whole table), whole texts of them: the n-grams that are clearly more frequent in one language than on average, the most telling
+first. The n-grams are counted by the executors. The model, SLOTS masks of as many bits as there are languages, goes to the
+workers; its size does not depend on the corpus.
 """
 
 from __future__ import annotations
@@ -17,24 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import give_back, mix64, slices
+from quantpanel.llm.common import give_back, mix64, slices, text_slices
 from quantpanel.session import ship_package
 
-#: Bounds of training, documented parameters: rows a language, code points of a row, n-grams a language.
-PER_LANG, ROW_CHARS, GRAMS = 400, 4_000, 20_000
+#: Parameters of the model: labelled rows a language that it learns from, n-grams a language that its filter holds.
+PER_LANG, GRAMS = 400, 20_000
 SIZES = (2, 3, 4)  # bytes of an n-gram
 SLOTS, K = 1 << 20, 2
-MAX_LANGS = 64
+WORD_BITS = 64  # languages of one mask word; a model has as many words as it needs
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
     langs: list[str]
-    masks: np.ndarray  # one unsigned integer a slot
+    masks: np.ndarray  # (words, slots)
     false_rate: np.ndarray  # of each language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -68,9 +70,8 @@ def slots_of(gram: np.ndarray) -> list[np.ndarray]:
 
 def _tables(masks: np.ndarray) -> list[np.ndarray]:
     """For n-grams of two bytes the answers of the filter, worked out once; the longer ones look into the slots."""
-    two = np.arange(1 << 16, dtype=np.uint64) | np.uint64(2 << 16)
-    a, b = slots_of(two)
-    return [masks[a] & masks[b]]
+    a, b = slots_of(np.arange(1 << 16, dtype=np.uint64) | np.uint64(2 << 16))
+    return [word[a] & word[b] for word in masks]
 
 
 def count_masks(raw: list[bytes], masks: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,61 +80,77 @@ def count_masks(raw: list[bytes], masks: np.ndarray, n_langs: int) -> tuple[np.n
     data = np.frombuffer(joined, np.uint8)
     starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
     hits, totals = np.zeros((len(raw), n_langs)), np.zeros(len(raw))
-    (pairs,) = _tables(masks)
+    pairs = _tables(masks)
     wide = data.astype(np.uint32)
     for n in SIZES:
         if len(data) < n:
             continue
-        if n == 2:
-            found = pairs[(wide[:-1] << np.uint32(8)) | wide[1:]]
-        else:
-            a, b = slots_of(grams(data, n))
-            found = masks[a] & masks[b]
-        lo = np.minimum(starts[:-1], len(found))
-        hi = np.maximum(lo, np.minimum(starts[1:] + 2 - n, len(found)))  # n-grams that reach from space to space
-        for j in range(n_langs):
-            running = np.concatenate([[0], np.cumsum((found >> found.dtype.type(j)) & found.dtype.type(1), dtype=np.int64)])
-            hits[:, j] += running[hi] - running[lo]
+        slots = slots_of(grams(data, n)) if n > 2 else None
+        last = max(0, len(data) - n + 1)
+        lo = np.minimum(starts[:-1], last)
+        hi = np.maximum(lo, np.minimum(starts[1:] + 2 - n, last))  # n-grams that reach from space to space
+        for w, word in enumerate(masks):
+            found = pairs[w][(wide[:-1] << np.uint32(8)) | wide[1:]] if n == 2 else word[slots[0]] & word[slots[1]]
+            for j in range(w * WORD_BITS, min(n_langs, (w + 1) * WORD_BITS)):
+                bit = (found >> found.dtype.type(j % WORD_BITS)) & found.dtype.type(1)
+                running = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+                hits[:, j] += running[hi] - running[lo]
         totals += hi - lo
     return hits, totals
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model of (lang, text) rows. No rows: a model that answers und."""
-    langs = sorted({lang for lang, _ in rows})
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"a mask holds at most {MAX_LANGS} languages")
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= max(1, len(langs)))
-    masks = np.zeros(SLOTS, kind)
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts with a space at both ends, and how often each occurs."""
+    data = [np.frombuffer(b" " + t.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8) for t in texts]
+    return np.unique(np.concatenate([grams(d, n) for d in data for n in SIZES] or [np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def fit(seen: dict[str, tuple[np.ndarray, np.ndarray]], most_grams: int = GRAMS) -> Model:
+    """A model of each language's n-grams (sorted) and their counts. No languages: a model that answers und."""
+    langs = sorted(seen)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(WORD_BITS, max(1, len(langs))))
+    masks = np.zeros((max(1, -(-len(langs) // WORD_BITS)), SLOTS), kind)
     if not langs:
         return Model([], masks, np.zeros(0))
-    seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang in langs:
-        data = np.frombuffer(b" ".join(t.lower().encode("utf-8", "surrogatepass") for x, t in rows if x == lang), np.uint8)
-        seen[lang] = np.unique(np.concatenate([grams(data, n) for n in SIZES if len(data) >= n] or [np.zeros(0, np.uint64)]), return_counts=True)
     every = np.unique(np.concatenate([g for g, _ in seen.values()]))
-    rate = np.zeros((len(langs), len(every)))
+    mean = np.zeros(len(every))
+    for g, c in seen.values():
+        mean[np.searchsorted(every, g)] += c / max(1, c.sum()) / len(langs)
+    fill = np.zeros(len(langs))
     for i, lang in enumerate(langs):
         g, c = seen[lang]
-        rate[i, np.searchsorted(every, g)] = c / max(1, c.sum())
-    mean = rate.mean(0)
-    for i in range(len(langs)):
-        gain = rate[i] * np.log(np.maximum(rate[i], 1e-300) / np.maximum(mean, 1e-300))
-        # one language only: every n-gram of it is telling
-        chosen = np.argsort(-gain, kind="stable")[:GRAMS] if len(langs) > 1 else np.argsort(-rate[i], kind="stable")[:GRAMS]
-        chosen = chosen[(rate[i, chosen] > 0) & ((rate[i, chosen] > 1.5 * mean[chosen]) | (len(langs) == 1))]
-        for at in slots_of(every[chosen]):
-            masks[at] |= kind(1 << i)
-    fill = np.array([((masks >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
+        rate, usual = c / max(1, c.sum()), mean[np.searchsorted(every, g)]
+        gain = rate * np.log(rate / usual) if len(langs) > 1 else rate  # one language only: every n-gram of it is telling
+        chosen = np.argsort(-gain, kind="stable")[:most_grams]
+        chosen = chosen[(rate[chosen] > 1.5 * usual[chosen]) | (len(langs) == 1)]
+        bit = kind(1 << (i % WORD_BITS))
+        word = masks[i // WORD_BITS]
+        for at in slots_of(g[chosen]):
+            word[at] |= bit
+        fill[i] = ((word & bit) != 0).mean()
     return Model(langs, masks, fill**K)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, row_chars: int = ROW_CHARS) -> Model:
-    """Fits on `per_lang` labelled rows of each language, `row_chars` code points of each. Rows without label or text are left out.
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in text_slices(batches):
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            gram, n = gram_counts(own)
+            for i in range(0, len(gram), 50_000):
+                some = gram[i : i + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(n[i : i + 50_000].astype("i8"))], ["lang", "gram", "n"])
+
 
-    The rows are those of the smallest hash: first only ids and labels are ranked, in two steps so that no task ranks a whole
-    language; then the texts of the chosen ids alone are fetched.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_grams: int = GRAMS) -> Model:
+    """Fits on `per_lang` labelled rows of each language, whole texts of them. Rows without id, label or text are left out.
+
+    The rows are those of the smallest hash: only ids and labels are ranked, in two steps so that no task ranks a whole language; then
+    the n-grams of the chosen rows are counted where the rows are. To the driver go the distinct n-grams of per_lang rows a language.
+    Any number of languages; no labelled row gives a model that answers und. Repeated ids may add rows to the sample.
     """
+    ship_package(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), lang_col).alias("h"))
     first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
@@ -141,9 +158,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
     ids = ids.withColumn("r", F.row_number().over(second)).where(F.col("r") <= per_lang).select("id", "lang")
     wanted = F.broadcast(ids)  # at most per_lang rows a language
-    source = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"))
-    rows = source.join(wanted, ["id", "lang"], "left_semi").collect()
-    return fit(sorted((r["lang"], r["text"]) for r in rows))
+    source = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = source.join(wanted, ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = rows.column("lang").to_pandas().to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    seen = {}
+    for name in set(lang.tolist()):
+        own = np.flatnonzero(lang == name)
+        own = own[np.argsort(gram[own])]
+        seen[name] = (gram[own], n[own])
+    return fit(seen, most_grams)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
