@@ -21,7 +21,8 @@ def _plain(text: Column) -> Column:
 
 
 def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = 64) -> DataFrame:
-    """conv_id, speaker, part, n_turns, text, mask: one row a conversation, participant and part.
+    """conv_id, speaker, part, n_turns, text, mask: one row a conversation, participant and part. A conversation of at most part_turns
+    turns, numbered from 0, is one part; a larger part_turns keeps longer ones whole, at the price of rows as large as they are.
 
     Participants are the distinct roles but `system`; a null role is the participant "unknown"; line feeds in a name become spaces. A
     conversation of system turns alone has no participant and gives no row. Turns are ordered by turn (null first), role and text;
@@ -35,9 +36,14 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     # repeated turn numbers could make a block large: its rows are numbered (a streaming window) and cut again
     inside = Window.partitionBy("c", "block").orderBy(F.col("t").asc_nulls_first(), "r", "x")
     turns = turns.withColumn("n", F.row_number().over(inside) - 1).withColumn("sub", F.floor(F.col("n") / F.lit(part_turns)))
+    # parts are numbered before they hold any text
+    places = turns.select("c", "block", "sub").distinct()
+    places = places.withColumn("part", F.row_number().over(Window.partitionBy("c").orderBy("block", "sub")) - 1)
     parts = turns.groupBy("c", "block", "sub").agg(F.sort_array(F.collect_list(F.struct("n", "r", "x"))).alias("turns"))
+    same = parts["c"].eqNullSafe(places["c"]) & (parts["block"] == places["block"]) & (parts["sub"] == places["sub"])
+    parts = parts.join(places.hint("shuffle_hash"), same).select(parts["c"], "turns", "part")
     speakers = turns.where(F.col("r") != SYSTEM).select("c", F.col("r").alias("speaker")).distinct()
-    parts = parts.join(speakers, parts["c"].eqNullSafe(speakers["c"])).select(parts["c"], "block", "sub", "turns", "speaker")
+    parts = parts.join(speakers, parts["c"].eqNullSafe(speakers["c"])).select(parts["c"], "part", "turns", "speaker")
 
     head = lambda t: F.concat(
         F.lit(START),
@@ -55,11 +61,10 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
         return F.struct((stop + F.lit(len(foot))).alias("at"), F.concat(state["mask"], F.when(p["own"], span).otherwise(F.lit(""))).alias("mask"))
 
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["x"], F.lit(foot))), "")
-    number = Window.partitionBy("c", "speaker").orderBy("block", "sub")
     return parts.select(
         F.col("c").alias(conv_col),
         "speaker",
-        (F.row_number().over(number) - 1).alias("part"),
+        "part",
         F.size("turns").cast("long").alias("n_turns"),
         text.alias("text"),
         F.aggregate("pieces", zero, step)["mask"].alias("mask"),

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,8 +93,15 @@ def test_minimal_perfect_hash():
     assert len(bits) < 5 * 5000
 
 
+def plain_shingles(text, n):
+    """Sets of tuples of words, from the definition."""
+    small = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", small) if w]
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+
+
 def brute_components(rows, n, percent):
-    sets = {i: ngram_join.shingles(t, n) for i, t in rows}
+    sets = {i: plain_shingles(t, n) for i, t in rows}
     up = {i: i for i in sets}
 
     def find(i):
@@ -103,7 +112,7 @@ def brute_components(rows, n, percent):
     ids = sorted(sets)
     for x in ids:
         for y in ids:
-            if x < y and len(sets[x]) and len(sets[y]) and ngram_join.similar(sets[x], sets[y], percent):
+            if x < y and len(sets[x]) and len(sets[y]) and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 a, b = find(x), find(y)
                 up[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -132,6 +141,19 @@ def test_ngram_components(spark, n, percent, block):
     assert made == brute_components(rows, n, percent)
 
 
+def test_large_clusters_over_many_blocks(spark):
+    """Chains of copies and sets of many sizes in one cluster, in blocks of two sets."""
+    rng = np.random.default_rng(9)
+    rows, words = [], [f"w{v}" for v in rng.integers(0, 4000, 120)]
+    for i in range(70):
+        words = list(words)
+        for _ in range(2):
+            words[rng.integers(len(words))] = f"z{i}.{rng.integers(10**6)}"
+        rows.append((i, " ".join(words if i % 3 else words[: len(words) * 9 // 10])))
+    made = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(table(spark, rows), 5, 80, block_rows=2).collect()}
+    assert made == brute_components(rows, 5, 80)
+
+
 def test_shingles_by_definition():
     text = "One two\tTHREE four five six"
     words = text.lower().split()  # the no-break space is no separator here
