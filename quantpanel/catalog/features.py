@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantpanel.catalog import sql as q
 from quantpanel.operators.fundamental import fundamental
 from quantpanel.operators.technical import technical
-from quantpanel.operators.tsnumeric import columns_of, series_features
+from quantpanel.operators.tsnumeric import NEEDED, columns_of, series_features
 from quantpanel.operators.tsstats import tsstats
 from quantpanel.sources.bars import load_bars
 
@@ -24,7 +24,9 @@ def rounded(df: DataFrame, digits: dict[str, int | None], keys: tuple[str, ...]
 
 
 def _add(name: str, operator: Callable[..., DataFrame], arguments: dict, digits: dict[str, int | None], sql: str | None) -> None:
-    FEATURES[name] = (lambda spark, sf_dir: rounded(operator(load_bars(spark, sf_dir), **arguments), digits)), sql
+    # what goes through Python cannot be pruned by the optimizer
+    columns = ("ticker", "dates", *NEEDED) if operator is series_features else ("*",)
+    FEATURES[name] = (lambda spark, sf_dir: rounded(operator(load_bars(spark, sf_dir).select(*columns), **arguments), digits)), sql
 
 
 def windowed(name: str, arguments: dict, digits: dict[str, int | None], *stages: dict[str, str], operator: Callable[..., DataFrame] = technical) -> None:

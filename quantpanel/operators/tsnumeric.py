@@ -83,28 +83,39 @@ def permutation_entropy(x: np.ndarray) -> np.ndarray:
     return _entropy(counts) / math.log(2)
 
 
-def _close_pairs(x: np.ndarray, m: int, r: np.ndarray) -> np.ndarray:
-    """For each window: which of its templates of m values lie within r of one another (largest distance)."""
-    t = np.lib.stride_tricks.sliding_window_view(x, m, axis=1)
-    return np.abs(t[:, :, None, :] - t[:, None, :, :]).max(3) <= r[:, None, None]
+def _in_blocks(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, rows: int = 500) -> np.ndarray:
+    """f of so many windows at a time, which stay in the cache."""
+    return np.concatenate([f(x[i : i + rows]) for i in range(0, len(x), rows)]) if len(x) else np.zeros(0)
 
 
-def _in_chunks(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, rows: int = 200) -> np.ndarray:
-    return np.concatenate([f(x[i : i + rows]) for i in range(0, len(x), rows)]) if len(x) else np.zeros(0)
+def _near_templates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each template of two and of three values (down) of each window (across): how many others of its window lie within r = 0.2
+    population standard deviations of it (largest distance). Pairs are looked at lag by lag, for all windows at once."""
+    n, r = x.shape[1], 0.2 * x.std(1)
+    t = np.ascontiguousarray(x.T)
+    two, three = np.zeros((n - 1, len(x)), np.uint16), np.zeros((n - 2, len(x)), np.uint16)
+    for lag in range(1, n - 1):
+        near = np.abs(t[lag:] - t[:-lag]) <= r
+        near2 = near[:-1] & near[1:]
+        two[:-lag] += near2
+        two[lag:] += near2
+        if lag < n - 2:
+            near3 = near2[:-1] & near[2:]
+            three[:-lag] += near3
+            three[lag:] += near3
+    return two, three
 
 
 def sample_entropy(x: np.ndarray) -> np.ndarray:
     """m = 2, r = 0.2 population standard deviations."""
 
     def of(x: np.ndarray) -> np.ndarray:
-        r = 0.2 * x.std(1)
-        n = x.shape[1]
-        near2 = _close_pairs(x[:, : n - 1], 2, r).sum((1, 2)) - (n - 2)
-        near3 = _close_pairs(x, 3, r).sum((1, 2)) - (n - 2)
+        two, three = (c.astype(np.int64) for c in _near_templates(x))
+        near2, near3 = two[:-1].sum(0) - two[-1], three.sum(0)  # without the last template of two, which has no third value
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where((near2 > 0) & (near3 > 0), -np.log(near3 / near2), np.where(near2 > 0, np.inf, np.nan))
 
-    out = _in_chunks(of, x)
+    out = _in_blocks(of, x)
     return np.where(np.isfinite(out), out, np.nan)
 
 
@@ -112,11 +123,10 @@ def approximate_entropy(x: np.ndarray) -> np.ndarray:
     """m = 2, r = 0.2 population standard deviations; templates match themselves."""
 
     def of(x: np.ndarray) -> np.ndarray:
-        r = 0.2 * x.std(1)
-        phi = [np.log(_close_pairs(x, m, r).mean(2)).mean(1) for m in (2, 3)]
+        phi = [np.log((c + 1) / len(c)).mean(0) for c in _near_templates(x)]
         return np.abs(phi[0] - phi[1])
 
-    return _in_chunks(of, x)
+    return _in_blocks(of, x)
 
 
 # MacKinnon's response-surface coefficients for the p-value of the Dickey-Fuller tau with a constant, one series.
@@ -300,8 +310,7 @@ def series_features(panel: DataFrame, **features: bool | Sequence[int]) -> DataF
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dates", kind="stable").reset_index(drop=True)
         inputs = pd.DataFrame({c: pd.to_numeric(g[c]).astype(float) for c in NEEDED if c in g})
-        made = compute(inputs, features).replace([np.inf, -np.inf], np.nan).astype(object)
-        made = made.where(made.notna(), None)
+        made = compute(inputs, features).replace([np.inf, -np.inf], np.nan)  # nan becomes null on the way back
         return pd.concat([g[[f.name for f in rest]], made[columns]], axis=1)
 
     return panel.groupBy("ticker").applyInPandas(run, schema)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -173,3 +174,39 @@ def test_unknown_and_missing(spark):
         technical(panel(spark, [1.0]).drop("px_high"), sma=[5])
     with pytest.raises(ValueError):
         fundamental(panel(spark, [1.0]), pe_ratio=True)
+
+
+def _odd_windows():
+    """Windows of few values, flat stretches, straight and periodic lines: where sums of products are singular and maxima tie."""
+    rng, t = np.random.default_rng(0), np.arange(50.0)
+    odd = [np.full(50, 0.1), t, t**2, np.exp(t), np.where(t < 25, 1.0, 2.0), t % 2, np.sin(t / 3), np.r_[np.zeros(49), 1.0], np.r_[np.zeros(20), rng.random(30)]]
+    return np.stack([*odd, *np.round(rng.normal(size=(40, 50)), 1), *np.round(rng.normal(size=(40, 50)).cumsum(1)), *rng.normal(1, 0.1, (40, 50)).cumprod(1)])
+
+
+def _fast_enough(f, microseconds):
+    x = np.random.default_rng(2).normal(1e4, 3e3, (3000, 50))
+    best = min(_cpu(f, x) for _ in range(3))
+    assert best / len(x) * 1e6 < microseconds
+
+
+def _cpu(f, x):
+    began = time.process_time()
+    f(x)
+    return time.process_time() - began
+
+
+def test_entropies_of_odd_windows():
+    x = _odd_windows()
+    for row, s, ap in zip(x, tsnumeric.sample_entropy(x), tsnumeric.approximate_entropy(x), strict=True):
+        r = 0.2 * row.std()
+        near = {m: [[max(abs(row[i + k] - row[j + k]) for k in range(m)) <= r for j in range(51 - m)] for i in range(51 - m)] for m in (2, 3)}
+        phi = [np.mean([math.log(sum(line) / len(line)) for line in near[m]]) for m in (2, 3)]
+        assert ap == pytest.approx(abs(phi[0] - phi[1]), abs=1e-12)
+        two, three = (sum(map(sum, (line[:48] for line in near[m][:48]))) - 48 for m in (2, 3))
+        assert s == pytest.approx(-math.log(three / two)) if two and three else np.isnan(s)
+
+
+@pytest.mark.parametrize("f", [tsnumeric.sample_entropy, tsnumeric.approximate_entropy])
+def test_entropies_are_fast(f):
+    """A panel has tens of millions of windows; pair by pair they took about 400 microseconds each."""
+    _fast_enough(f, 60)
