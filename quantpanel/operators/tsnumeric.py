@@ -171,17 +171,83 @@ def _tau(x: np.ndarray) -> float:
     return fit(lags, lags)[1]
 
 
+def _moments(x: np.ndarray, d: np.ndarray, lags: int, drop: int, x_last: bool) -> np.ndarray:
+    """Sums of products, less their means, of the columns of all windows' regressions: the level, d lagged by 1 to `lags` (the level behind
+    them if x_last) and d itself. x and d have a window a column."""
+    end = len(d)
+    columns = [x[drop:-1] - x[drop:-1].mean(0), *(d[drop - j : end - j] for j in range(1, lags + 1)), d[drop:]]
+    if x_last:
+        columns = [*columns[1:-1], columns[0], columns[-1]]
+    columns = [c - c.mean(0) for c in columns]
+    out = np.empty((len(columns), len(columns), x.shape[1]))
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns[: i + 1]):
+            out[i, j] = out[j, i] = np.einsum("tw,tw->w", a, b)
+    return out
+
+
+def _eliminate(m: np.ndarray, k: int) -> None:
+    """Takes column k out of those behind it."""
+    share = m[k + 1 :, k] / m[k, k]
+    m[k + 1 :, k + 1 :] -= share[:, None] * m[k, k + 1 :][None]
+
+
+#: Where a pivot or a rest is a smaller share of what it was, or two numbers of lags are nearer by AIC, a window is worked out by _tau().
+PIVOT, NEAR_AIC = 1e-7, 1e-6
+
+
+def _taus(x: np.ndarray) -> np.ndarray:
+    """_tau() of many windows at once, by elimination in their matrices of moments; nan where these are too near to singular."""
+    n = x.shape[1]
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    x = np.ascontiguousarray(x.T)
+    d = np.diff(x, axis=0)
+    size = len(d) - most
+    m = _moments(x, d, most, most, False)
+    own = np.einsum("iiw->iw", m).copy()
+    aic, sound = np.empty((most + 1, x.shape[1])), np.ones(x.shape[1], bool)
+    for k in range(most + 1):
+        sound &= m[k, k] > PIVOT * own[k]
+        _eliminate(m, k)
+        sound &= m[-1, -1] > PIVOT * own[-1]
+        aic[k] = size * np.log(m[-1, -1] / size) + 2 * (k + 2)
+    lags = np.nan_to_num(aic, nan=np.inf).argmin(0)
+    two = np.partition(aic, 1, axis=0)[:2]
+    sound &= two[1] - two[0] > NEAR_AIC
+    out = np.full(x.shape[1], np.nan)
+    for k in np.unique(lags[sound]).tolist():
+        at = np.flatnonzero(sound & (lags == k))
+        m = _moments(x[:, at], d[:, at], k, k, True)
+        own, good = np.einsum("iiw->iw", m).copy(), np.ones(len(at), bool)
+        for i in range(k):
+            good &= m[i, i] > PIVOT * own[i]
+            _eliminate(m, i)
+        good &= m[k, k] > PIVOT * own[k]
+        rest = m[-1, -1] - m[k, -1] ** 2 / m[k, k]
+        good &= rest > PIVOT * own[-1]
+        tau = m[k, -1] / m[k, k] / np.sqrt(rest / (len(d) - k - (k + 2)) / m[k, k])
+        out[at] = np.where(good, tau, np.nan)
+    return out
+
+
 def adfuller(x: np.ndarray) -> np.ndarray:
     """The p-value; null for a flat window or where the regression fails."""
-    out = np.full(len(x), np.nan)
-    for i, row in enumerate(x):
-        if np.ptp(row) > 0:
+
+    def of(x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            tau = _taus(x)
+        for i, t in enumerate(tau.tolist()):
             try:
-                p = tau_p_value(_tau(row))
-                out[i] = p
+                if t == t:
+                    out[i] = tau_p_value(t)
+                elif np.ptp(x[i]) > 0:
+                    out[i] = tau_p_value(_tau(x[i]))
             except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
                 pass
-    return out
+        return out
+
+    return _in_blocks(of, x)
 
 
 def _ricker(points: int, a: float) -> np.ndarray:
