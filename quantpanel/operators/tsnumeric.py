@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -255,50 +256,77 @@ def _ricker(points: int, a: float) -> np.ndarray:
     return 2 / (math.sqrt(3 * a) * math.pi**0.25) * (1 - (t / a) ** 2) * np.exp(-(t**2) / (2 * a**2))
 
 
+@cache
+def _wavelets(n: int, widths: tuple[int, ...]) -> np.ndarray:
+    """A row of n values times this gives its transforms by all widths, one behind the other."""
+    return np.concatenate([np.stack([np.convolve(one, _ricker(min(10 * w, n), w)[::-1], "same") for one in np.eye(n)]) for w in widths], 1)
+
+
+#: Neighbours nearer than this share of the largest value are told apart in the order of np.convolve's sums.
+NEAR_PEAK = 1e-9
+
+
+def _transforms(x: np.ndarray, widths: tuple[int, ...]) -> np.ndarray:
+    """(window, width, place); windows with near ties, as flat ones have, get them by np.convolve."""
+    n = x.shape[1]
+    rows = (x @ _wavelets(n, widths)).reshape(len(x), len(widths), n)
+    near = np.abs(np.diff(rows, axis=2)).min((1, 2)) <= NEAR_PEAK * np.abs(rows).max((1, 2))
+    for k in np.flatnonzero(near).tolist():
+        rows[k] = [np.convolve(x[k], _ricker(min(10 * w, n), w)[::-1], "same") for w in widths]
+    return rows
+
+
 def number_cwt_peaks(x: np.ndarray, widths: Sequence[int] = tuple(range(1, 10)), gap: int = 3) -> np.ndarray:
-    """Ridge lines of the wavelet transform that are long and stand out: maxima linked from the widest wavelet to the narrowest."""
-    out = np.zeros(len(x))
-    noise_window = max(1, math.ceil(x.shape[1] / 20))
-    for k, row in enumerate(x):
-        rows = np.stack([np.convolve(row, _ricker(min(10 * w, len(row)), w)[::-1], "same") for w in widths])
-        inner = np.zeros(rows.shape, bool)
-        inner[:, 1:-1] = (rows[:, 1:-1] > rows[:, :-2]) & (rows[:, 1:-1] > rows[:, 2:])
-        lines: list[tuple[list[int], list[int], int]] = []  # rows, columns, gap so far
-        done: list[tuple[list[int], list[int]]] = []
-        start = max((i for i in range(len(widths)) if inner[i].any()), default=None)
-        if start is None:
-            continue
-        lines = [([start], [int(c)], 0) for c in np.flatnonzero(inner[start])]
-        for level in range(start - 1, -1, -1):
-            far = max(1.0, widths[level] / 4)
-            ends = np.array([line[1][-1] for line in lines]) if lines else np.zeros(0)
-            taken: dict[int, int] = {}
-            for c in np.flatnonzero(inner[level]).tolist():
-                at = int(np.argmin(np.abs(ends - c))) if len(ends) else -1
-                if at >= 0 and abs(ends[at] - c) <= far and at not in taken:
-                    taken[at] = c
-                else:
-                    lines.append(([level], [c], 0))
-            kept = []
-            for i, (r, c, g) in enumerate(lines):
-                if i in taken:
-                    kept.append((r + [level], c + [taken[i]], 0))
-                elif i < len(ends):
-                    if g + 1 > gap:
-                        done.append((r, c))
-                    else:
-                        kept.append((r, c, g + 1))
-                else:
-                    kept.append((r, c, g))
-            lines = kept
-        done += [(r, c) for r, c, _ in lines]
-        noise = np.array([np.percentile(rows[0, max(0, i - noise_window // 2) : i + noise_window // 2 + noise_window % 2], 10) for i in range(len(row))])
-        for r, c in done:
-            if len(r) >= math.ceil(len(widths) / 4):
-                ground = noise[c[-1]]
-                if ground != 0 and abs(rows[r[-1], c[-1]] / ground) >= 1:
-                    out[k] += 1
-    return out
+    """Ridge lines of the wavelet transform that are long and stand out: maxima linked from the widest wavelet to the narrowest.
+
+    The maxima of a level, of all windows, are linked at once: each goes on the line whose end is nearest (the older of two), if it is
+    near enough and no maximum before it took that line, else it begins a line.
+    """
+    return _in_blocks(lambda part: _ridges(_transforms(part, tuple(widths)), widths, gap), x)
+
+
+def _ridges(rows: np.ndarray, widths: Sequence[int], gap: int) -> np.ndarray:
+    many, levels, n = rows.shape
+    inner = np.zeros(rows.shape, bool)
+    inner[:, :, 1:-1] = (rows[:, :, 1:-1] > rows[:, :, :-2]) & (rows[:, :, 1:-1] > rows[:, :, 2:])
+    # lines, oldest first: window, last column, last level, length, levels missed, open
+    window, end, level_of, length, missed = (np.zeros(0, np.int64) for _ in range(5))
+    alive = np.zeros(0, bool)
+    for level in range(levels - 1, -1, -1):
+        far = int(max(1.0, widths[level] / 4))
+        w, c = np.nonzero(inner[:, level])
+        none = len(window)
+        at_end = np.full((many, n + 2 * far), none)  # the oldest open line that ends there
+        open_ = np.flatnonzero(alive)[::-1]
+        at_end[window[open_], end[open_] + far] = open_
+        line = at_end[w, c + far]
+        for off in range(1, far + 1):
+            line = np.where(line == none, np.minimum(at_end[w, c + far - off], at_end[w, c + far + off]), line)
+        first = np.full(none + 1, -1)
+        first[line[::-1]] = np.arange(len(line))[::-1]
+        goes_on = (line < none) & (first[line] == np.arange(len(line)))
+        met = np.zeros(none, bool)
+        met[line[goes_on]] = True
+        end[line[goes_on]], level_of[line[goes_on]] = c[goes_on], level
+        length += met
+        missed = np.where(met, 0, missed + alive)
+        alive &= missed <= gap
+        new = ~goes_on
+        begun = int(new.sum())
+        window, end, alive = np.concatenate([window, w[new]]), np.concatenate([end, c[new]]), np.concatenate([alive, np.ones(begun, bool)])
+        level_of, length, missed = (np.concatenate([a, np.full(begun, v)]) for a, v in ((level_of, level), (length, 1), (missed, 0)))
+    kept = length >= math.ceil(levels / 4)
+    window, end, level_of = window[kept], end[kept], level_of[kept]
+    # the tenth percentile of the narrowest transform around the line's end
+    wide = max(1, math.ceil(n / 20))
+    low, high = np.maximum(0, end - wide // 2), np.minimum(n, end + wide // 2 + wide % 2)
+    ground = np.full(len(end), np.nan)
+    for size in np.unique(high - low).tolist():
+        some = np.flatnonzero(high - low == size)
+        ground[some] = np.percentile(rows[window[some, None], 0, low[some, None] + np.arange(size)], 10, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (ground != 0) & (np.abs(rows[window, level_of, end] / ground) >= 1)
+    return np.bincount(window[out], minlength=many).astype(float)
 
 
 #: name -> (columns, function of all windows)
