@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantpanel.catalog import relations
 from quantpanel.operators import backtest, forest, labels, modelling, partitioning, signals
+from quantpanel.operators.quantiles import exact_quantiles
 from quantpanel.plans.loader import BinaryLabelTransform, DataLoader, NaryLabelTransform, PurgedTimeSeriesPartition, TechnicalCovariateTransform
 from quantpanel.sources import files
 from quantpanel.streaming.bars import event_bars, write_bars
@@ -225,3 +226,22 @@ def test_sweep(spark):
     assert len(found) == 4 and [s for _, s in found] == sorted(s for _, s in found)
     assert all(s == pytest.approx(2 * p["k"]) and p["other"] == "x" for p, s in found)
     assert len(seen) == 12 and [d for *_, d in seen[:3]] == [DAY + dt.timedelta(i) for i in (15, 20, 25)] and {n for _, n, _ in seen} == {10}
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "skewed", "signs"])
+def test_quantiles_of_a_column_that_is_read_in_parts(spark, kind):
+    rng = np.random.default_rng(1)
+    y = {"normal": rng.normal(size=30_000), "ties": np.round(rng.normal(size=30_000)), "skewed": np.exp(20 * rng.normal(size=30_000)), "signs": rng.choice([-0.0, 0.0, 1e-300, -5.0, 7.5], 30_000)}[kind]
+    rows = spark.createDataFrame(pd.DataFrame({"y": y})).unionByName(spark.createDataFrame([(None,)] * 5, "y double"))
+    shares = [0.0, 0.2, 0.37, 0.5, 0.75, 0.999, 1.0]
+    expected = list(rows.agg(F.percentile("y", F.array(*map(F.lit, shares)))).first()[0])
+    assert exact_quantiles(rows, "y", shares, at_once=50) == expected == exact_quantiles(rows, "y", shares)
+    assert exact_quantiles(rows.where("y is null"), "y", shares) is None
+
+
+def test_whole_table_quantiles_do_not_meet_in_one_task(spark):
+    """One percentile() over a table gathers all its values in one task."""
+    rows = panel(spark, {"a": 50, "b": 50})
+    for made in (modelling.quantile_bins(rows, "px_last"), labels.binary_label(rows, "px_last", 0.75, per_date=False)):
+        assert "percentile" not in made._jdf.queryExecution().toString()
+    assert modelling.quantile_bins(rows, "px_last").groupBy("bin").count().orderBy("bin").toPandas()["count"].tolist() == [20] * 5
