@@ -50,6 +50,19 @@ def purged_folds(panel: DataFrame, n_splits: int = 5, max_train_size: int | None
     return _explode(placed, _roles(F.col(PLACE), F.col(TOTAL), n_splits, max_train_size, test_size, gap))
 
 
+def purged_roles(panel: DataFrame, n_splits: int = 5, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0) -> DataFrame:
+    """Each row once, with all its (fold, role) in the array column ROLE: what purged_folds() gives a row for each. See role_rows()."""
+    _check(n_splits, max_train_size=max_train_size, test_size=test_size, gap=gap)
+    by = Window.partitionBy(TICKER)
+    placed = panel.withColumn(PLACE, F.row_number().over(by.orderBy(DATES)) - 1).withColumn(TOTAL, F.count(F.lit(1)).over(by))
+    return placed.withColumn(ROLE, _roles(F.col(PLACE), F.col(TOTAL), n_splits, max_train_size, test_size, gap)).drop(PLACE, TOTAL).where(F.size(ROLE) > 0)
+
+
+def role_rows(placed: DataFrame, fold: int, role: str) -> DataFrame:
+    """The rows of purged_roles() that have the role in the fold."""
+    return placed.where(F.exists(ROLE, lambda r: (r["fold"] == fold) & (r["role"] == role))).drop(ROLE)
+
+
 def purged_group_folds(panel: DataFrame, n_splits: int = 5, max_train_group_size: int | None = None, max_test_group_size: int | None = None, gap: int = 0) -> DataFrame:
     """The same on distinct days: rows of one day are in one role."""
     _check(n_splits, max_train_group_size=max_train_group_size, max_test_group_size=max_test_group_size, gap=gap)

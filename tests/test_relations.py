@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantpanel.catalog import relations
 from quantpanel.operators import backtest, forest, labels, modelling, partitioning, signals
-from quantpanel.operators.quantiles import exact_quantiles
+from quantpanel.operators.quantiles import exact_quantiles, pooled_quantiles
 from quantpanel.plans.loader import BinaryLabelTransform, DataLoader, NaryLabelTransform, PurgedTimeSeriesPartition, TechnicalCovariateTransform
 from quantpanel.sources import files
 from quantpanel.streaming.bars import event_bars, write_bars
@@ -245,3 +245,41 @@ def test_whole_table_quantiles_do_not_meet_in_one_task(spark):
     for made in (modelling.quantile_bins(rows, "px_last"), labels.binary_label(rows, "px_last", 0.75, per_date=False)):
         assert "percentile" not in made._jdf.queryExecution().toString()
     assert modelling.quantile_bins(rows, "px_last").groupBy("bin").count().orderBy("bin").toPandas()["count"].tolist() == [20] * 5
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_pooled_quantiles_of_leaves(spark, ties):
+    rng = np.random.default_rng(3)
+    y = np.round(rng.normal(size=4000)) if ties else rng.normal(size=4000)
+    have = rng.integers(0, 4, (4000, 5))
+    want = have[:300]
+    leaves = spark.createDataFrame(pd.DataFrame({"leaf": have.tolist(), "y": y}), "leaf array<int>, y double")
+    wanted = spark.createDataFrame(pd.DataFrame({"leaf": want.tolist()}), "leaf array<int>")
+    made = {tuple(r.leaf): (r.q0, r.q1, r.q2) for r in pooled_quantiles(leaves, wanted, (0.1, 0.5, 0.9), (5, 4)).collect()}
+    assert set(made) == set(map(tuple, want.tolist()))
+    for leaf, found in made.items():
+        pool = np.concatenate([y[have[:, t] == k] for t, k in enumerate(leaf)])
+        assert np.allclose(found, np.quantile(pool, [0.1, 0.5, 0.9]))
+
+
+def test_forest_sends_no_targets_to_rows(spark):
+    """A row's answer does not carry the targets of its leaves: with 16,000 of them a leaf these filled the disk."""
+    rows = panel(spark, {"a": 300, "b": 300})
+    model = modelling.fit_quantile_forest(rows, ["px_volume", "px_high"], "px_last", trees=3, depth=3)
+    made = model.predict(rows, ["ticker", "dates"])
+    assert "collect_list" not in made._jdf.queryExecution().toString() and made.count() == 600
+    held = modelling._leaves(model.forest, modelling.assemble(rows, model.features)).toPandas()
+    leaf = np.stack(held["_leaf"])
+    found = held.merge(made.toPandas(), on=["ticker", "dates"])
+    for i in range(0, 600, 37):
+        pool = np.concatenate([held["px_last"][leaf[:, t] == leaf[i, t]] for t in range(3)])
+        assert np.allclose(found.loc[i, ["q10", "q50", "q90"]].to_numpy(float), np.quantile(pool, [0.1, 0.5, 0.9]))
+
+
+def test_roles_of_a_row(spark):
+    p = panel(spark, {"a": 60, "b": 60, "c": 10})
+    placed, folds = partitioning.purged_roles(p, 3, 20, 10, 1), partitioning.purged_folds(p, 3, 20, 10, 1)
+    for k in range(3):
+        for role in ("train", "test"):
+            one, two = partitioning.role_rows(placed, k, role), partitioning.fold_part(folds, k, role)
+            assert one.columns == two.columns and one.count() == two.count() and one.exceptAll(two).count() == 0
