@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantpanel.session import ship_package
+
 DATE_FORMATS = ("yyyy-MM-dd", "d.M.yy", "d.M.yyyy", "M/d/yyyy", "yyyy/MM/dd", "d-MMM-yy", "yyyy-MM-dd HH:mm:ss")
 
 
@@ -64,7 +69,11 @@ def read_wide_panel(spark: SparkSession, path: str, first_block: str = "drop", d
         if k < len(names) and not (k == 0 and first_block == "drop"):
             chosen.setdefault(re.sub(r"\s.*", "", names[k]), columns)
     every = sorted({f for columns in chosen.values() for f in columns})
+    if not chosen:
+        return spark.createDataFrame([], "ticker string, dates date")
     width = max(len(fields), 1)
+    if width > WIDE:
+        return _read_lines(spark, path, chosen, every, delimiter)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.csv(path, schema=schema, header=False, sep=delimiter, mode="PERMISSIVE", enforceSchema=True)
     # header rows have no valid date in column 0, so they go with the invalid ones
@@ -73,14 +82,37 @@ def read_wide_panel(spark: SparkSession, path: str, first_block: str = "drop", d
         F.struct(F.lit(t).alias("ticker"), *(number(F.col(f"c{columns[f]}")).alias(f) if f in columns else F.lit(None).cast("double").alias(f) for f in every))
         for t, columns in chosen.items()
     ]
-    if not rows:
-        return spark.createDataFrame([], "ticker string, dates date")
     return dated.select("dates", F.inline(F.array(*rows))).select("ticker", "dates", *every).na.drop("all", subset=every)
 
 
-def _split(line: str, delimiter: str):
-    import csv
+#: Files of more columns are read line by line: a plan that names each column grows too large.
+WIDE = 1_000
+
 
+def _read_lines(spark: SparkSession, path: str, chosen: dict[str, dict[str, int]], every: Sequence[str], delimiter: str) -> DataFrame:
+    """The same rows, cells taken from each line at their places; tickers without a cell in a line are passed over there."""
+    ship_package(spark)
+    tickers = np.array(list(chosen), object)
+    places = {f: np.array([columns.get(f, -1) for columns in chosen.values()]) for f in every}  # -1: the empty cell put at the end
+    first = F.regexp_replace(F.substring_index("value", delimiter, 1), '^"|"$', "")
+    lines = spark.read.text(path).select(parse_date(first).alias("dates"), "value").where(F.col("dates").isNotNull())
+    reach = 1 + max(int(at.max()) for at in places.values())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for date, line in zip(b.column(0), b.column(1), strict=True):
+                text = line.as_py()
+                cells = next(csv.reader([text], delimiter=delimiter)) if '"' in text else text.split(delimiter)
+                held = np.array(cells[:reach] + [""] * (1 + max(0, reach - len(cells))), object)
+                found = [held[at] for at in places.values()]
+                some = np.any([column != "" for column in found], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(tickers[some], pa.string()), pa.repeat(date, int(some.sum())), *(pa.array(column[some], pa.string()) for column in found)], ["ticker", "dates", *every])
+
+    kinds = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("dates", T.DateType()), *(T.StructField(f, T.StringType()) for f in every)])
+    return lines.mapInArrow(cut, kinds).select("ticker", "dates", *(number(F.col(f"`{f}`")).alias(f) for f in every)).na.drop("all", subset=list(every))
+
+
+def _split(line: str, delimiter: str):
     yield from csv.reader([line], delimiter=delimiter)
 
 
@@ -130,10 +162,15 @@ def write_wide_panel(panel: DataFrame, path: str, fields: Sequence[str] = ("px_l
     tickers = [r["ticker"] for r in panel.select(F.col("ticker").cast("string").alias("ticker")).distinct().orderBy("ticker").collect()]
     spark, width = panel.sparkSession, len(fields)
     head = [note, "," + ",".join(f"{t} :" + "," * (width - 1) for t in tickers), "", "Dates," + ",".join(",".join(f.upper() for f in fields) for _ in tickers)]
-    value = F.struct(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))
-    by_date = panel.groupBy("dates").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ticker").cast("string"), value))).alias("m"))
-    cell = lambda t: F.concat_ws(",", *(F.element_at("m", t)[f] for f in fields))
-    cells = F.transform(F.array(*map(F.lit, tickers)), lambda t: F.when(F.map_contains_key("m", t), cell(t)).otherwise(F.lit("," * (width - 1))))
-    lines = by_date.select(F.date_format("dates", "yyyy-MM-dd").alias("k"), F.concat_ws(",", F.date_format("dates", "yyyy-MM-dd"), F.array_join(cells, ",")).alias("value"))
+    # a line is the cells of its date in order of tickers, each with the commas of the tickers left out before it
+    at = spark.createDataFrame(list(enumerate(tickers)), "_at int, ticker string")
+    cell = F.concat_ws(",", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))
+    cells = panel.select("dates", F.col("ticker").cast("string").alias("ticker"), cell.alias("_cell")).join(F.broadcast(at), "ticker")
+    before = F.coalesce(F.lag("_at").over(Window.partitionBy("dates").orderBy("_at")), F.lit(-1))
+    cells = cells.select("dates", "_at", F.concat(F.repeat(F.lit(","), (F.col("_at") - before - 1) * width + 1), "_cell").alias("_cell"))
+    by_date = cells.groupBy("dates").agg(F.sort_array(F.collect_list(F.struct("_at", "_cell"))).alias("m"))
+    rest = F.repeat(F.lit(","), (len(tickers) - 1 - F.element_at("m", -1)["_at"]) * width)
+    day = F.date_format("dates", "yyyy-MM-dd")
+    lines = by_date.select(day.alias("k"), F.concat(day, F.array_join(F.col("m")["_cell"], ""), rest).alias("value"))
     top = spark.createDataFrame([(f"!{i}", line) for i, line in enumerate(head)], "k string, value string")
     top.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)

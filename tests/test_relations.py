@@ -283,3 +283,23 @@ def test_roles_of_a_row(spark):
         for role in ("train", "test"):
             one, two = partitioning.role_rows(placed, k, role), partitioning.fold_part(folds, k, role)
             assert one.columns == two.columns and one.count() == two.count() and one.exceptAll(two).count() == 0
+
+
+def test_wide_file_line_by_line(spark, tmp_path, monkeypatch):
+    """Many columns make a plan that does not end; a ticker's cells of each line were looked up one by one."""
+    p = panel(spark, {f"t{i}": 1 + i % 3 for i in range(40)}).withColumn("px_volume", F.when(F.dayofmonth("dates") != 2, F.col("px_volume")))
+    files.write_wide_panel(p, str(tmp_path / "made"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "made")).collect()]
+    assert {line.count(",") for line in lines if line[:1].isdigit()} == {80} and len(lines) == 7
+    (tmp_path / "odd.csv").write_text(
+        "note\n,IDX:X,,AB US:Y,,CD Z:W,,AB again:Q\nskip\nDates,PX_LAST,PX_VOLUME,PX_LAST,PX_VOLUME,PX_LAST,PX_VOLUME,PX_LAST\n"
+        '2020-01-02,1,2,3,4,#NAME?,6,7\nnot a date,1,2,3,4,5,6,7\n"2020-01-03",1,"2",,,5.5,,8\n2020-01-04,"1,5",2,3\n2020-01-05,1,2,x,,,\n'
+    )
+    for path in ("made", "odd.csv"):
+        made = []
+        for wide in (10**6, 1):
+            monkeypatch.setattr(files, "WIDE", wide)
+            made.append(files.read_wide_panel(spark, str(tmp_path / path), first_block="keep"))
+        one, two = made
+        assert one.schema.simpleString() == two.schema.simpleString() and one.count() == two.count() > 0 and one.exceptAll(two).count() == 0
+    assert files.read_wide_panel(spark, str(tmp_path / "made"), first_block="keep").exceptAll(p.select("ticker", "dates", "px_last", "px_volume")).count() == 0
