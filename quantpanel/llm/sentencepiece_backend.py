@@ -2,8 +2,8 @@
 
 The model's protobuf is parsed here (wire format, only the fields needed); its normaliser, white-space marker, scores and byte
 fallback are rebuilt as a tokenizers pipeline: a Unigram model with the scores, or a BPE model whose merges follow from the
-scores. Texts are encoded and decoded by the tokenizers library alone. round_trip() compares a sample of the rows with the sentencepiece
-library, as check_parity() does.
+scores. Texts are encoded and decoded by the tokenizers library alone. round_trip() compares every row with the
+sentencepiece library, by its distinct cuts.
 
 No piece of such a model has the white-space marker behind another character, so text is cut before each run of spaces and ids before
 each piece that begins with the marker; distinct cuts are encoded and decoded once, in multithreaded batches, and kept in bounded
@@ -33,7 +33,7 @@ MARKER = "▁"
 NORMAL, UNKNOWN_TYPE, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_PIECES = 200_000
 TOGETHER = 1_000  # cuts that share a call of the library
-PARITY_EACH = 256  # one row of so many, by the checksum of its ids, is compared with the sentencepiece library
+PARITY_EACH = 256  # one row of so many, by the checksum of its ids, is compared whole with the sentencepiece library, besides its cuts
 CUT = re.compile(r" +[^ ]*|[^ ]+")
 BYTE_PIECE = re.compile(r"<0x[0-9A-F]{2}>")
 
@@ -128,6 +128,8 @@ class SpTokenizer:
         self.spoken: dict[bytes, str] = {}
         self.begins = np.array([p.startswith(MARKER) for p, _, _ in model.pieces])
         self.silent = np.array([kind == CONTROL for _, _, kind in model.pieces])
+        self.theirs = None  # the sentencepiece library, where cuts are to be compared with it
+        self.unlike: set[str] = set()  # cuts that it encodes or decodes otherwise
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit bytes."""
@@ -141,6 +143,7 @@ class SpTokenizer:
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {}
             new = list(wanted)
+        fresh = new
         # cuts of one space, at their head, share a call: their ids begin where a piece begins with the marker
         plain = [c for c in new if c[:1] == " " and c.find(" ", 1) < 0] if self.cuts else []
         chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
@@ -157,7 +160,35 @@ class SpTokenizer:
                 ids = e.ids
                 self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        if self.theirs is not None:
+            self._compare(fresh)
+        return out
+
+    def _compare(self, cuts: list[str]) -> None:
+        """New cuts against the library, which puts a space before a text itself: many as one text, and each where that text differs."""
+        step = TOGETHER if len(cuts) > 1 else 1
+        for i in range(0, len(cuts), step):
+            part = cuts[i : i + step]
+            ids = self.theirs.encode("".join(part)[1:])
+            data = b"".join(map(self.known.__getitem__, part))
+            if np.array(ids, "<u4").tobytes() == data and self.theirs.decode(ids) == self.decode([data])[0]:
+                continue
+            if len(part) == 1:
+                self.unlike.add(part[0])
+            else:
+                for cut in part:
+                    self._compare([cut])
+
+    def parity(self, texts: list[str], path: str) -> list[bool]:
+        """Of encoded texts, whether the library gives the same ids and text. No piece reaches over a cut, so a text is alike where its cuts
+        are; where texts can't be cut, each is compared whole."""
+        if self.theirs is None:
+            wrong = set(check_parity(path, texts))
+            return [t not in wrong for t in texts]
+        if not self.unlike:
+            return [True] * len(texts)
+        return [self.unlike.isdisjoint(CUT.findall((" " + t if t else t).replace(MARKER, " "))) for t in texts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of encode()'s bytes. Ids of control pieces give nothing; bytes that are no UTF-8 give U+FFFD each."""
@@ -228,12 +259,16 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def _round(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     sp = sp_tokenizer(path)
+    if sp.theirs is None and sp.cuts and sp.plain and sp.model.dummy_prefix:
+        sp.theirs = _library(path)
+        sp.known.clear()  # what is known has not been compared
     for part in text_slices(batches):
         texts = [t or "" for t in part.column(1).to_pylist()]
         ids = sp.encode(texts)
         back = [a == b for a, b in zip(texts, sp.decode(ids), strict=True)]
         sums = list(map(zlib.crc32, ids))
-        parity = [not check_parity(path, [t]) if c % PARITY_EACH == 0 else None for t, c in zip(texts, sums, strict=True)]
+        # a sample is compared whole besides
+        parity = [same and (c % PARITY_EACH > 0 or not check_parity(path, [t])) for same, t, c in zip(sp.parity(texts, path), texts, sums, strict=True)]
         columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.int64()), pa.array(back), pa.array(parity, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, ["id", "n_ids", "ids_crc32", "same", "parity"])
 
@@ -247,7 +282,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_ids, ids_crc32 (of little-endian 32-bit ids), same: whether decoding the ids gives the text again (null: as empty), parity:
-    whether the sentencepiece library gives the same ids and text, of one row in PARITY_EACH (chosen by ids_crc32), null for the others.
+    whether the sentencepiece library gives the same ids and text, of every row: each distinct cut is compared, and one row in PARITY_EACH
+    (chosen by ids_crc32) whole.
 
     same is false where the model's normaliser changes a text, or where the text holds the marker character itself.
     """

@@ -482,6 +482,32 @@ def test_sentencepiece_tables(spark):
     assert sentencepiece_backend.round_trip(source.where("false"), path).count() == 0
 
 
+def test_every_row_is_compared_with_the_library(spark):
+    """One row in 256 was, the others were null."""
+    path = vocabulary("piece_bpe_32k.model")
+    odd = ["", "  a  b", " ", "日本語 😀", "<s> </s> <0x41>", "a▁b", "▁", "trail   ", None]
+    source = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert [r.parity for r in sentencepiece_backend.round_trip(source, path).collect()] == [True] * len(odd)
+
+    class Other:
+        """A library that knows one word otherwise."""
+
+        def __init__(self, real):
+            self.real = real
+
+        def encode(self, text):
+            return [1] if "zebra" in text.split(" ") else self.real.encode(text)
+
+        def decode(self, ids):
+            return self.real.decode(ids)
+
+    sp = sentencepiece_backend.SpTokenizer(path)
+    sp.theirs = Other(sentencepiece_backend._library(path))
+    for texts in (["a zebra", "a horse", "zebra "], ["zebras", "the zebra"]):
+        sp.encode(texts)
+        assert sp.parity(texts, path) == ["zebra" not in t.split() for t in texts]
+
+
 # ------------------------------------------------------------------ HTML
 
 LONG = "This is the long paragraph that was written for the readers of the paper and it has all of the words that they want to read in it today. " * 2
