@@ -3,7 +3,7 @@
 A store is a folder: data/ holds immutable Parquet shards, manifest/ one file a version that lists the shards of that version. An
 arrival is written as small shards and committed; when `fanout` shards of one size tier have gathered, they are merged into runs of
 about the target size. A merge reads the files of a run into one task and writes one file: no exchange, no key, so a hot source or
-group cannot skew it. A version becomes visible by one rename that fails if another writer was first. Files are never changed;
+group cannot skew it. A version becomes visible by one rename (a link in a local folder) that fails if another writer was first. Files are never changed;
 vacuum() deletes those that no kept version lists. The driver holds the manifest only: one short row a shard.
 """
 
@@ -68,7 +68,11 @@ class ShardStore:
         return json.loads(text)
 
     def _commit(self, base: dict, shards: list[dict], schema: str | None, note: str) -> dict:
-        """Writes the file under another name and renames it; the rename fails if the version exists."""
+        """Writes the file under another name and gives it that of the version, which fails if the version exists.
+
+        A rename does so where it is one step of the store. On a local or mounted folder it looks first and renames then, so that two
+        writers may both go through and the later one takes the other's place; there the file is linked, which only one can do.
+        """
         made = {"version": base["version"] + 1, "schema": schema, "shards": shards, "note": note}
         draft, final = self._path(f"manifest/.draft-{uuid.uuid4().hex}"), self._path(f"manifest/v{made['version']:012d}.json")
         stream = self._fs.create(draft, False)
@@ -76,11 +80,17 @@ class ShardStore:
             stream.write(bytearray(json.dumps(made).encode()))
         finally:
             stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = getattr(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), "NONE")
         try:
-            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), options)
+            if self._fs.getScheme() == "file":
+                at = [self._fs.pathToFile(p).toPath() for p in (final, draft)]
+                self._jvm.java.nio.file.Files.createLink(*at)
+                self._fs.delete(draft, False)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self._conf)
+                kind = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
+                options = self.spark.sparkContext._gateway.new_array(kind, 1)
+                options[0] = kind.NONE
+                context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), options)
         except Exception as e:
             self._fs.delete(draft, False)
             if "FileAlreadyExists" in str(e):

@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -317,6 +318,27 @@ def test_writers_side_by_side(spark):
     assert sorted(r.id for r in shards.ShardStore(spark, root).read().collect()) == [100 * k + i for k in range(3) for i in range(40)]
 
 
+def test_one_writer_commits_a_version(spark):
+    root = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    stores, start = [shards.ShardStore(spark, root) for _ in range(6)], Barrier(6)
+
+    def work(k):
+        won = []
+        for version in range(60):
+            start.wait(60)
+            try:
+                stores[k]._commit({"version": version}, [], None, str(k))
+                won.append(version)
+            except shards.Conflict:
+                pass
+        return won
+
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(work, range(6)))
+    assert sorted(sum(won, [])) == list(range(60))
+    assert [stores[0].manifest(v + 1)["note"] for v in range(60)] == [str(k) for v in range(60) for k in range(6) if v in won[k]]
+
+
 def test_arrivals_must_fit(spark):
     store = shards.ShardStore(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}")
     store.append(spark.sql("select 1L as a, 'x' as b"))
