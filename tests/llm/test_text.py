@@ -50,6 +50,27 @@ def test_encoder_equals_whole_texts(spark):
         assert made == struct.pack(f"<{len(e.ids)}I", *e.ids), text[:40]
 
 
+def test_encoder_words_with_marks_and_a_full_cache(monkeypatch):
+    from quantpanel.llm import tokens
+
+    rng = random.Random(5)
+    ends = ["", "%%%", "&&&", ",&&&", "...", ".", "--", "_", "'s", "'", "<|", "|>", "(b)", ")'t", "@x", "##1", "é", "×", "²", "…"]
+    texts = [" ".join(rng.choice(["les", "été", "œuf", "Straße", "i'm", "", "don", "9"]) + rng.choice(ends) + rng.choice(ends) for _ in range(40)) for _ in range(300)]
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"), packing.MARK)
+    calls, whole = [], WordEncoder._ids
+    monkeypatch.setattr(WordEncoder, "_ids", staticmethod(lambda tokenizer, text: calls.append(text) or whole(tokenizer, text)))
+    encoder.encode(["les%%% les&&& les été,&&&"])
+    assert sorted(encoder.known) == sorted(["", "les", "les%%%", "les&&&", "été", "été,&&&", "%%%", "&&&", ",&&&"])
+    assert not any("les" in text and "&" in text for text in calls)  # only the word and the marks were encoded
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 300)
+    for i in range(0, 300, 20):
+        held = set(encoder.known)
+        part = texts[i : i + 20]
+        for text, e, made in zip(part, encoder.tokenizer.encode_batch(part, add_special_tokens=False), encoder.encode(part), strict=True):
+            assert made == struct.pack(f"<{len(e.ids)}I", *e.ids), text[:40]
+    assert len(held & set(encoder.known)) > 50  # what is in use stays when the cache is full
+
+
 def test_pack(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (50, None), (51, "long words here " * 3000), (52, "same"), (52, "same")]
     source = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, piece string")
