@@ -8,8 +8,9 @@ Plan.
    Shingles of common passages would make keys that many unlike sets share. As two linked sets differ in at most D shingles
    within any fixed part of the universe, a set that has enough other shingles is cut into parts without the common ones; sets
    near or below that limit send the keys of all their shingles (too), so two linked sets always meet in one of the two ways.
-   Inside a batch, equal keys are collapsed before the shuffle, so a group of copies sends few rows. Sets that share keys form
-   candidate clusters (connected components of shared keys).
+   Inside a batch, equal keys are collapsed before the shuffle, so a group of copies sends few rows; the rest is sent as sorted,
+   packed arrays, one a batch and routing task. Sets that share keys form candidate clusters (connected components of shared keys).
+   Of equal sets one stands for all from here on, and clusters of one such class have nothing to join.
 3. Join: each cluster is gathered once and joined by a signature tree: nodes hold OR-combined token bitmaps, size ranges
    and the largest number of bitmap collisions. A dual traversal prunes pairs of nodes by the largest overlap possible between
    them, and pairs of nodes that already are one component; what remains is compared exactly. Before that, a few central sets
@@ -31,10 +32,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, give_back, mix64, remove, stored, text_slices, union_find
+from quantpanel.llm.common import cut, drop_shuffles, give_back, mix64, remove, sieve, stored, text_slices, union_find
 from quantpanel.llm.components import components
 from quantpanel.session import ship_package
 
@@ -53,6 +55,7 @@ PART_TOKENS = 6_000_000
 #: Common shingles: found where HEAVY_BATCH sets of a batch share one, the HEAVY_KEPT most common of them, as flags of slots. A hint
 #: for routing of bounded size; any set of flags gives the same result.
 HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS, HEAVY_STEPS = 3, 400_000, 1 << 23, 1 << 16
+KEY_BITS = 56  # of a routing key that are sent; keys that agree in these alone only bring unlike sets together
 RICH = 1.5  # shingles a part that are not common, for a set to be cut without the common ones
 
 
@@ -164,7 +167,43 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield from shared()
 
 
-def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits) -> Iterator[pa.RecordBatch]:
+def _bytes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits by their first, second, ... bytes, compressed: the high ones of small numbers take no room."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def _numbers(data) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def packed(key: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, first, keys, nodes): keys sorted and as differences, nodes as differences from the first; a part is a range of keys."""
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order].view(np.uint64)
+    edge = np.searchsorted(key, ((np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)) << np.uint64(32))
+    edge = [0, *edge.tolist(), len(key)]
+    key = key >> np.uint64(64 - KEY_BITS)
+    step = np.diff(key, prepend=np.uint64(0))
+    rows = []
+    for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if b > a:
+            step[a], first = key[a], node[a:b].min()
+            rows.append((p, int(first.view(np.int64)), _bytes(step[a:b]), _bytes(node[a:b] - first)))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "first", "keys", "nodes"])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes of all rows."""
+    key, node = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i in range(batch.num_rows):
+        key.append(_numbers(batch.column("keys")[i].as_buffer()).cumsum(dtype=np.uint64))
+        node.append(_numbers(batch.column("nodes")[i].as_buffer()) + np.int64(batch.column("first")[i].as_py()).view(np.uint64))
+    return np.concatenate(key), np.concatenate(node).view(np.int64)
+
+
+def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits, parts: int) -> Iterator[pa.RecordBatch]:
     heavy = np.unpackbits(np.frombuffer(heavy_bits.value, np.uint8)).astype(bool)
     found: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
@@ -184,10 +223,8 @@ def _route(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits)
         ties = ties[ties[:, 0] != ties[:, 1]]
         named = mix64(ties[:, 0].view(np.uint64) + FACTORS[51])
         leads = np.unique(ties[:, 0])
-        key = np.concatenate([key[head], named, mix64(leads.view(np.uint64) + FACTORS[51])]).view(np.int64)
-        node = np.concatenate([node[head], ties[:, 1], leads])
-        for at in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["key", "node"])
+        key = np.concatenate([key[head], named, mix64(leads.view(np.uint64) + FACTORS[51])])
+        yield packed(key, np.concatenate([node[head], ties[:, 1], leads]), parts)
 
     held = 0
     for part in text_slices(batches):
@@ -223,7 +260,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes that share a key, as a forest. A partition's keys are whole; it has a bounded number of rows."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    parts = [unpacked(b) for b in batches]
     if not parts:
         return
     key, node = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -412,16 +449,21 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     remove(spark, shared_path)
     known = profile.where("id is not null and n > 0")
     classes = known.groupBy("n", "s0", "s1").agg(F.min("id").alias("node"))
+    member = cut(known.join(classes, ["n", "s0", "s1"]).select("id", "node").distinct())
 
     total = known.agg(F.sum("n")).first()[0] or 0
     parts = 1 + total // PART_TOKENS
-    routed = source.mapInArrow(partial(_route, n=words, percent=percent, heavy_bits=heavy), "key long, node long")
-    met = routed.repartition(parts, "key").mapInArrow(_meet, "a long, b long")
+    routed = source.mapInArrow(partial(_route, n=words, percent=percent, heavy_bits=heavy, parts=parts), "part int, first long, keys binary, nodes binary")
+    met = routed.repartitionById(parts, "part").mapInArrow(_meet, "a long, b long")
     clusters = components(met).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    # one id a class; clusters of one class are settled
+    clusters = clusters.join(member, "id").select(F.col("node").alias("id"), "cluster").distinct()
+    extent = clusters.groupBy("cluster").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    clusters = cut(clusters.join(extent.select("cluster"), "cluster", "left_semi"))
+    drop_shuffles(spark)
 
     edges = _join_clusters(source, clusters, known.select("id", "n").distinct(), words, percent, block_rows, block_chars)
     # the links are between ids; classes of equal sets are tied by their smallest ids
-    member = known.join(classes, ["n", "s0", "s1"]).select("id", "node")
     own = member.groupBy("id").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     ends = edges.join(own.select(F.col("id").alias("a"), F.col("node").alias("na")), "a").join(own.select(F.col("id").alias("b"), F.col("node").alias("nb")), "b")
     ties = ends.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(own.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -456,8 +498,7 @@ def _pairs_of_blocks(sets: DataFrame, percent: int, block_rows: int, block_chars
 
 def _join_clusters(source: DataFrame, clusters: DataFrame, lengths: DataFrame, words: int, percent: int, block_rows: int, block_chars: int) -> DataFrame:
     """Links between the members of each cluster (a, b), enough to connect all that are linked."""
-    clusters = cut(clusters)
-    full = source.where("id is not null")
+    full, _ = sieve(source, clusters, "id")  # texts in no cluster stay where they are
     sizes = full.select("id", F.length("text").alias("chars")).join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars"))
     blocks = F.ceil(F.greatest(F.col("rows") / F.lit(block_rows), F.col("chars") / F.lit(block_chars), F.lit(1.0))).cast("int")
     sizes = cut(sizes.select("cluster", blocks.alias("blocks")))
@@ -493,6 +534,8 @@ def _join_clusters(source: DataFrame, clusters: DataFrame, lengths: DataFrame, w
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each component. Rows of a null id stay."""
     found = similar_components(docs, words, percent, id_col, text_col)
-    # written first: where the list is small, its known size lets Spark broadcast it and leave the texts where they are
-    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    drop_shuffles(docs.sparkSession)
+    # documents that surely stay are not moved
+    doubtful, sure = sieve(docs, gone, id_col, "_gone")
+    return sure.union(doubtful.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantpanel.llm import exact_dedup, line_dedup, ngram_join
+from quantpanel.llm.common import sieve
 from quantpanel.llm.components import components
 
 SCHEMA = "doc_id long, text string, h string, n_lines long, extra int"
@@ -201,3 +202,37 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).select((F.col("id") * 7 % 201).alias("a"), ((F.col("id") + 1) * 7 % 201).alias("b"))
     made = components(edges.union(spark.createDataFrame([(1000, 1000), (2001, 2000)], "a long, b long"))).collect()
     assert {r.component for r in made} == {0, 2000} and len({r.node for r in made}) == len(made) == 203
+
+
+def test_routing_keys_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for rows, parts, ids in ((200_000, 7, np.arange(5_000)), (1, 3, np.array([-5])), (0, 2, np.arange(2)), (300, 1, np.array([-(2**63), 2**63 - 1, 0]))):
+        key, node = rng.integers(0, 2**64, rows, np.uint64), rng.choice(ids, rows)
+        sent = ngram_join.packed(key, node, parts)
+        got = ngram_join.unpacked(sent)
+        whole = sorted(zip((key >> np.uint64(64 - ngram_join.KEY_BITS)).tolist(), node.tolist(), strict=True))
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == whole
+        assert sent.column("part").to_pylist() == sorted(set(((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).tolist()))
+    sent = ngram_join.packed(rng.integers(0, 2**64, 200_000, np.uint64), rng.choice(5_000, 200_000), 7)
+    assert sum(len(x) for c in ("keys", "nodes") for x in sent.column(c).to_pylist()) < 8 * 200_000  # two numbers of 8 bytes each before
+
+
+def test_texts_that_stay_are_not_exchanged(spark):
+    """Neither those of no cluster, before the join, nor those that are kept, after it, however many go."""
+    rows = table(spark, [(i, f"a b c d e f {i // 2 if i % 10 < 2 else -i}") for i in range(400)] + [(None, "a b c d e f 0"), (0, "twice")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gone = spark.range(40, 80).selectExpr("id as _gone")
+        doubtful, sure = sieve(rows, gone, "doc_id", "_gone")
+        assert "Exchange hashpartitioning" not in sure._jdf.queryExecution().toString()
+        left, out = [r.doc_id for r in sure.collect()], [r.doc_id for r in doubtful.collect()]
+        assert set(range(40, 80)) <= set(out) and None in left and len(out) < 60 and len(left) + len(out) == 402
+        made = ngram_join.drop_similar(rows, words=20, percent=80)
+        assert re.search(r"Union\n *:- BroadcastHashJoin", made._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    firsts = {}
+    kept = [i for i, t in [(i, f"{i // 2 if i % 10 < 2 else -i}") for i in range(400)] if firsts.setdefault(t, i) == i]
+    assert sorted(r.doc_id for r in made.collect() if r.doc_id is not None) == sorted([*kept, 0])
+    assert made.columns == rows.columns and made.where("doc_id is null").count() == 1
