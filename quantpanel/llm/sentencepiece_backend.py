@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, partial
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from quantpanel.session import ship_package
 
 MARKER = "▁"
 NORMAL, UNKNOWN_TYPE, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 TOGETHER = 1_000  # cuts that share a call of the library
 PARITY_EACH = 256  # one row of so many, by the checksum of its ids, is compared whole with the sentencepiece library, besides its cuts
 CUT = re.compile(r" +[^ ]*|[^ ]+")
@@ -101,6 +102,16 @@ def merges_of(model: SpModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def _news(split: list[list], known: dict) -> tuple[list, dict]:
+    """The cuts that are not known yet, and the cache; where it is full, without the cuts that are not at hand."""
+    new = set()
+    for cuts in split:
+        new.update(filterfalse(known.__contains__, cuts))
+    if len(known) + len(new) > CACHE_PIECES:
+        known = {c: known[c] for c in set().union(*split) - new}
+    return list(new), known
+
+
 class SpTokenizer:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -138,11 +149,7 @@ class SpTokenizer:
         # the marker itself counts as a space
         texts = [(" " + t if t and self.model.dummy_prefix else t).replace(MARKER, " ") for t in texts]
         split = [CUT.findall(t) if self.cuts else [t] for t in texts]
-        wanted = set().union(*split) if split else set()
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = list(wanted)
+        new, self.known = _news(split, self.known)
         fresh = new
         # cuts of one space, at their head, share a call: their ids begin where a piece begins with the marker
         plain = [c for c in new if c[:1] == " " and c.find(" ", 1) < 0] if self.cuts else []
@@ -202,11 +209,7 @@ class SpTokenizer:
             if not edge or edge[0]:
                 edge = [0, *edge]
             split.append([data[a:b] for a, b in zip(edge, [*edge[1:], len(data)], strict=True)])
-        wanted = set().union(*split) if split else set()
-        new = [c for c in wanted if c not in self.spoken]
-        if len(self.spoken) + len(new) > CACHE_PIECES:
-            self.spoken = {}
-            new = list(wanted)
+        new, self.spoken = _news(split, self.spoken)
         # cuts that begin with the marker share a call too: each gives one space and what follows it
         plain = [c for c in new if self.begins[int.from_bytes(c[:4], "little")]]
         chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]

@@ -50,6 +50,22 @@ def test_encoder_equals_whole_texts(spark):
         assert made == struct.pack(f"<{len(e.ids)}I", *e.ids), text[:40]
 
 
+def test_sentencepiece_full_caches_keep_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(sentencepiece_backend, "CACHE_PIECES", 300)
+    path = vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece_backend.SpTokenizer(path)
+    sp.theirs = theirs = sentencepiece_backend._library(path)
+    common = "these words stay in use all the time"
+    learned = []
+    for i in range(40):
+        part = [f"{common} {' '.join(f'x{i}y{k}z%' for k in range(20))}", common, ""]
+        fresh = set(sp.known)
+        ids = sp.encode(part)
+        assert ids == [struct.pack(f"<{len(x)}I", *x) for x in theirs.encode(part)] and sp.decode(ids) == part and all(sp.parity(part, path))
+        learned.append(len(set(sp.known) - fresh))
+    assert learned[0] == 28 and set(learned[1:]) == {20} and max(len(sp.known), len(sp.spoken)) <= 300
+
+
 def test_encoder_words_with_marks_and_a_full_cache(monkeypatch):
     from quantpanel.llm import tokens
 
