@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -193,6 +194,48 @@ def test_forest_finds_the_split():
     assert 0 < q[0, 0] < 1 and 10 < q[1, 0] < 11
 
 
+@pytest.mark.parametrize("wide, least, share, depth", [(1, 1, 1.0, 4), (2, 5, 0.5, 5), (3, 1, 0.9, 9), (3, 3, 0.3, 7)])
+def test_forest_by_boxes_is_the_forest_by_rows(wide, least, share, depth):
+    rng = np.random.default_rng(wide + depth)
+    x = np.round(rng.normal(size=(900, wide)), 1)  # with ties
+    x[:, 0] = np.round(x[:, 0])  # few bins
+    rows = forest.Rows(x, x.sum(axis=1) + rng.normal(size=900), 5, rng)
+    member = np.arange(900) % 7 != 3
+    order = rng.permutation(int(member.sum()))
+    made = [list(forest.grow(rows, member, order, x[~member], depth, least, share, np.random.default_rng(1), by=by)) for by in (forest.ByRows, forest.ByBoxes)]
+    for one, other in zip(*made, strict=True):
+        assert (one[0] == other[0]).all() and (one[1] == other[1]).all() and len(np.unique(one[0])) > 4
+
+
+@pytest.mark.parametrize("n, depth", [(1, 3), (7, 2), (3000, 4), (3000, 10)])
+def test_forest_quantiles_are_those_of_all_targets_in_the_leaves(monkeypatch, n, depth):
+    monkeypatch.setattr(forest, "HELD", 30_000)  # several steps
+    rng = np.random.default_rng(n)
+    x, new = np.round(rng.normal(size=(n, 2)), 2), rng.normal(size=(200, 2))
+    rows = forest.Rows(x, np.round(x[:, 0] + rng.normal(size=n), 2), 7, rng)
+    member = rng.random(n) < 0.8 if n > 10 else np.ones(n, bool)
+    q = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = forest.pooled(rows, member, new, q, depth, 1, 0.9, np.random.default_rng(2))
+    y = rows.y[member]
+    leaves = list(forest.grow(rows, member, np.arange(len(y)), new, depth, 1, 0.9, np.random.default_rng(2)))
+    for i, got in enumerate(found):
+        assert np.allclose(got, np.quantile(np.concatenate([y[own == ours[i]] for own, ours in leaves]), q))
+
+
+def test_forest_with_many_rows_to_predict_takes_little_more_time():
+    """Each row's quantiles took a pass over all rows of the window."""
+    rng = np.random.default_rng(5)
+    x, new = rng.normal(size=(60_000, 3)), rng.normal(size=(8_000, 3))
+    y = x[:, 0] + rng.normal(size=60_000)
+
+    def took(n: int) -> float:
+        began = time.process_time()
+        forest.predict_quantiles(x, y, new[:n], [0.1, 0.5, 0.9], trees=20, depth=7, least=1, share=0.9, seed=[1])
+        return time.process_time() - began
+
+    assert min(took(8_000) for _ in range(3)) < 4 * min(took(20) for _ in range(3))
+
+
 def test_walk_forward_query_has_every_window(spark, tmp_path):
     if not os.path.isdir(DATA):
         pytest.skip("no test data")
