@@ -289,6 +289,54 @@ def test_search_skips_blocks():
     assert 0 < shard.opened < shard.seen / 3
 
 
+def test_terms_are_those_of_the_pattern(monkeypatch):
+    """Many texts are hashed together, Latin-1 and others: equal hashes for equal terms, in each text's order."""
+    odd = ["Ünï_cödé ÀÉß µ² ½x", "ΟΔΟΣ Οδοσ ΣΑΣ", "İstanbul istanbul", "a\u0301b e\u0301", "x\u00a0y z\u2019s", "𝐀𝐛 𐐀𐐨 9٣ 中文", "", None, " \n_-", "ab", "ba", "aab aba baa", "\0a\0"]
+    pick = random.Random(5)
+    texts = odd + [" ".join(pick.choices("Abc abc ABC ÅB åb ñ Ñ x1 1x ω Ω".split(), k=pick.randrange(40))) for _ in range(300)] + ["w" * 700 + " " + "Wort " * 300]
+    words = [bm25.TERM.findall((t or "").lower()) for t in texts]
+    for together in (200_000, 50):
+        monkeypatch.setattr(bm25, "TOGETHER", together)
+        made = list(bm25.all_terms(texts))
+        assert [len(x) for x in made] == [len(x) for x in words]
+        pairs = set(zip(itertools.chain(*words), np.concatenate(made).tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert [bm25.terms_of(t).tolist() for t in texts] == [x.tolist() for x in made]
+
+
+def test_terms_take_less_time_than_the_pattern():
+    pick = random.Random(6)
+    texts = [" ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyzäé", k=pick.randrange(2, 11))) for _ in range(500)) + ". " for _ in range(300)]
+    bm25.terms_of("é ω")  # tables
+
+    def least(work):
+        taken = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert least(lambda: list(bm25.all_terms(texts))) < least(lambda: [bm25.TERM.findall(t.lower()) for t in texts])
+
+
+def test_block_finds_a_shards_terms_once(monkeypatch):
+    """Not again for each batch of queries."""
+    pick = random.Random(7)
+    every = [np.array(pick.sample(range(-2000, 2000), 30), np.int64) for _ in range(400)]
+    (arrays,) = bm25.build(list(range(400)), list(every), 10**9)
+    shard = bm25.Shard(*arrays, 30.0)
+    asked = [np.sort(np.append(x, 5000 + i)) for i, x in enumerate(every)]  # and one that no document has
+    block = bm25.Queries(np.repeat(np.arange(400), 31), np.concatenate(asked), np.ones(12400, np.int64), np.ones(12400))
+    monkeypatch.setattr(bm25, "BATCH", 20)
+    sizes, find = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: sizes.append(np.size(v)) or find(a, v, *rest))
+    found = {q: ids.tolist() for q, ids, _ in block.search(shard, 1)}
+    monkeypatch.undo()
+    assert found == {i: [i] for i in range(400)}
+    assert sum(n > 300 for n in sizes) == 1
+
+
 # ------------------------------------------------------------------ sharding
 
 
