@@ -6,8 +6,8 @@ scores. Texts are encoded and decoded by the tokenizers library alone. round_tri
 sentencepiece library, by its distinct cuts.
 
 No piece of such a model has the white-space marker behind another character, so text is cut before each run of spaces and ids before
-each piece that begins with the marker; distinct cuts are encoded and decoded once, in multithreaded batches, and kept in bounded
-caches.
+each piece that begins with the marker; distinct cuts, told by array operations, are encoded and decoded once, in multithreaded batches,
+and kept in bounded caches.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from quantpanel.llm.common import text_slices
+from quantpanel.llm.common import mix64, text_slices
 from quantpanel.session import ship_package
 
 MARKER = "▁"
 NORMAL, UNKNOWN_TYPE, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 TOGETHER = 1_000  # cuts that share a call of the library
 PARITY_EACH = 256  # one row of so many, by the checksum of its ids, is compared whole with the sentencepiece library, besides its cuts
 CUT = re.compile(r" +[^ ]*|[^ ]+")
+BYTES = mix64(np.arange(1, 257))
 BYTE_PIECE = re.compile(r"<0x[0-9A-F]{2}>")
 
 
@@ -102,14 +103,54 @@ def merges_of(model: SpModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def _news(split: list[list], known: dict) -> tuple[list, dict]:
+def _stretches(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], and so on."""
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
+class Cuts:
+    """Rows of units (bytes of text, or ids) in cuts; equal cuts are of one kind. mark: the units that begin a cut, besides those that begin
+    a row; value: a random number of each unit."""
+
+    def __init__(self, units: np.ndarray, sizes: list[int], mark: np.ndarray, value: np.ndarray) -> None:
+        stop = np.cumsum([0, *sizes])
+        mark[stop[:-1][np.diff(stop) > 0]] = True
+        start = np.flatnonzero(mark)
+        n = np.diff(np.append(start, len(units)))
+        self.rows = np.searchsorted(start, stop)  # each row's first cut
+        # a sum over the units of their number times that of their place, so that equal cuts stand together
+        place = np.arange(len(units))
+        place -= np.repeat(start, n)
+        parts = value[units]
+        parts *= (mix64(np.arange(1, n.max(initial=0) + 1) << 32) | np.uint64(1))[place]
+        sums = np.add.reduceat(parts, start) if len(start) else parts
+        del place, parts
+        order = np.argsort(sums)
+        head = np.append(True, np.diff(sums[order]) != 0)[: len(order)]
+        first, self.kind = order[head], np.empty(len(order), np.intp)
+        self.kind[order] = np.cumsum(head) - 1
+        if not np.array_equal(n[first][self.kind], n) or not np.array_equal(units[_stretches(start[first][self.kind], n)], units):
+            first = self.kind = np.arange(len(start))  # two cuts with one sum: each is of its own kind
+        width, data = units.itemsize, units.tobytes()
+        self.each = [data[a:b] for a, b in zip((start[first] * width).tolist(), ((start + n)[first] * width).tolist(), strict=True)]
+
+    def put(self, each: list[bytes], lost: int = 0) -> list[bytes]:
+        """The rows with other bytes for each kind, without the first ones of a row."""
+        n = np.array([len(x) for x in each], np.int64)
+        long = n[self.kind]
+        data = np.frombuffer(b"".join(each), "u1")[_stretches((np.cumsum(n) - n)[self.kind], long)].tobytes()
+        stop = np.append(0, np.cumsum(long))[self.rows].tolist()
+        return [data[a + lost : b] for a, b in zip(stop[:-1], stop[1:], strict=True)]
+
+
+def _news(cuts: list, known: dict) -> tuple[list, dict]:
     """The cuts that are not known yet, and the cache; where it is full, without the cuts that are not at hand."""
-    new = set()
-    for cuts in split:
-        new.update(filterfalse(known.__contains__, cuts))
+    new = list(dict.fromkeys(filterfalse(known.__contains__, cuts)))
     if len(known) + len(new) > CACHE_PIECES:
-        known = {c: known[c] for c in set().union(*split) - new}
-    return list(new), known
+        known = {c: known[c] for c in cuts if c in known}
+    return new, known
 
 
 class SpTokenizer:
@@ -135,9 +176,10 @@ class SpTokenizer:
         self.plain = not model.charsmap and not model.squeeze_spaces
         # pieces with the marker behind another character, or that hold several words, would forbid cutting before spaces
         self.cuts = not any(re.search(rf"[^{MARKER}]{MARKER}", p) for p, _, _ in model.pieces)
-        self.known: dict[str, bytes] = {}
-        self.spoken: dict[bytes, str] = {}
+        self.known: dict[bytes, bytes] = {}  # ids of a cut's text in UTF-8
+        self.spoken: dict[bytes, bytes] = {}  # the text of ids, behind the space that a cut begins with
         self.begins = np.array([p.startswith(MARKER) for p, _, _ in model.pieces])
+        self.value = mix64(np.arange(1, len(model.pieces) + 1))
         self.silent = np.array([kind == CONTROL for _, _, kind in model.pieces])
         self.theirs = None  # the sentencepiece library, where cuts are to be compared with it
         self.unlike: set[str] = set()  # cuts that it encodes or decodes otherwise
@@ -148,13 +190,17 @@ class SpTokenizer:
             texts = [self.prepare.normalize_str(t) for t in texts]
         # the marker itself counts as a space
         texts = [(" " + t if t and self.model.dummy_prefix else t).replace(MARKER, " ") for t in texts]
-        split = [CUT.findall(t) if self.cuts else [t] for t in texts]
-        new, self.known = _news(split, self.known)
+        data = [t.encode() for t in texts]
+        units = np.frombuffer(b"".join(data), "u1")
+        mark = units == 32
+        mark[1:] &= units[:-1] != 32
+        split = Cuts(units, list(map(len, data)), mark if self.cuts else np.zeros(len(units), bool), BYTES)
+        new, self.known = _news(split.each, self.known)
         fresh = new
         # cuts of one space, at their head, share a call: their ids begin where a piece begins with the marker
-        plain = [c for c in new if c[:1] == " " and c.find(" ", 1) < 0] if self.cuts else []
+        plain = [c for c in new if c[:1] == b" " and c.find(b" ", 1) < 0] if self.cuts else []
         chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for part, e in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        for part, e in zip(chunks, self.tokenizer.encode_batch_fast([b"".join(c).decode() for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             edge = (4 * np.flatnonzero(self.begins[ids])).tolist()
             if len(edge) == len(part) and not edge[0]:
@@ -163,26 +209,25 @@ class SpTokenizer:
         new = [c for c in new if c not in self.known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
                 ids = e.ids
                 self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in split]
+        out = split.put(list(map(self.known.__getitem__, split.each)))
         if self.theirs is not None:
             self._compare(fresh)
         return out
 
-    def _compare(self, cuts: list[str]) -> None:
+    def _compare(self, cuts: list[bytes]) -> None:
         """New cuts against the library, which puts a space before a text itself: many as one text, and each where that text differs."""
         step = TOGETHER if len(cuts) > 1 else 1
         for i in range(0, len(cuts), step):
             part = cuts[i : i + step]
-            ids = self.theirs.encode("".join(part)[1:])
+            ids = self.theirs.encode(b"".join(part)[1:].decode())
             data = b"".join(map(self.known.__getitem__, part))
             if np.array(ids, "<u4").tobytes() == data and self.theirs.decode(ids) == self.decode([data])[0]:
                 continue
             if len(part) == 1:
-                self.unlike.add(part[0])
+                self.unlike.add(part[0].decode())
             else:
                 for cut in part:
                     self._compare([cut])
@@ -203,26 +248,22 @@ class SpTokenizer:
         rows = [row[~self.silent[row]] if self.silent[row].any() else row for row in rows]
         if not (self.cuts and self.model.dummy_prefix):
             return self.tokenizer.decode_batch([row.tolist() for row in rows], skip_special_tokens=False)
-        split = []
-        for row in rows:
-            data, edge = row.tobytes(), (4 * np.flatnonzero(self.begins[row])).tolist()
-            if not edge or edge[0]:
-                edge = [0, *edge]
-            split.append([data[a:b] for a, b in zip(edge, [*edge[1:], len(data)], strict=True)])
-        new, self.spoken = _news(split, self.spoken)
+        units = np.concatenate([np.zeros(0, "<u4"), *rows])
+        split = Cuts(units, list(map(len, rows)), self.begins[units], self.value)
+        new, self.spoken = _news(split.each, self.spoken)
         # cuts that begin with the marker share a call too: each gives one space and what follows it
         plain = [c for c in new if self.begins[int.from_bytes(c[:4], "little")]]
         chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for part, text in zip(chunks, self.tokenizer.decode_batch([np.frombuffer(b"".join(c), "<u4").tolist() for c in chunks], skip_special_tokens=False), strict=True):
-            words = text.split(" ")
+            words = text.encode().split(b" ")
             if len(words) == len(part):
-                self.spoken.update(zip(part, words, strict=True))
+                self.spoken.update(zip(part, [b" " + w for w in words], strict=True))
         new = [c for c in new if c not in self.spoken]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.spoken.update(zip(part, self.tokenizer.decode_batch([np.frombuffer(c, "<u4").tolist() for c in part], skip_special_tokens=False), strict=True))
-        get = self.spoken.__getitem__
-        return [" ".join(map(get, cuts)) for cuts in split]  # a cut loses the space that it begins with
+            said = self.tokenizer.decode_batch([np.frombuffer(c, "<u4").tolist() for c in part], skip_special_tokens=False)
+            self.spoken.update(zip(part, [b" " + text.encode() for text in said], strict=True))
+        return [row.decode() for row in split.put(list(map(self.spoken.__getitem__, split.each)), 1)]
 
 
 @cache

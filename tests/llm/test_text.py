@@ -66,6 +66,36 @@ def test_sentencepiece_full_caches_keep_what_is_in_use(monkeypatch):
     assert learned[0] == 28 and set(learned[1:]) == {20} and max(len(sp.known), len(sp.spoken)) <= 300
 
 
+def test_sentencepiece_asks_its_caches_once_for_a_cut():
+    """However often it stands in the texts; cuts with one sum are told apart."""
+
+    class Asked(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            self.n += 1
+            return dict.__getitem__(self, key)
+
+        def __contains__(self, key):
+            self.n += 1
+            return dict.__contains__(self, key)
+
+    path = vocabulary("piece_bpe_32k.model")
+    sp, theirs = sentencepiece_backend.SpTokenizer(path), sentencepiece_backend._library(path)
+    sp.known, sp.spoken = Asked(), Asked()
+    texts = ["again  and again é中🙂 " * 200 + "once", "", "again", "  ", "\0\t\n x" * 50]
+    wanted = [struct.pack(f"<{len(x)}I", *x) for x in theirs.encode(texts)]
+    assert sp.encode(texts) == wanted and sp.decode(wanted) == texts
+    assert sp.known.n < 60 and sp.spoken.n < 60
+    sp = sentencepiece_backend.SpTokenizer(path)
+    sp.value, bytes_ = np.zeros_like(sp.value), sentencepiece_backend.BYTES.copy()
+    try:
+        sentencepiece_backend.BYTES[:] = 0  # all sums are equal
+        assert sp.encode(texts) == wanted and sp.decode(wanted) == texts
+    finally:
+        sentencepiece_backend.BYTES[:] = bytes_
+
+
 def test_encoder_words_with_marks_and_a_full_cache(monkeypatch):
     from quantpanel.llm import tokens
 
