@@ -11,6 +11,9 @@ Plan.
    Inside a batch, equal keys are collapsed before the shuffle, so a group of copies sends few rows; the rest is sent as sorted,
    packed arrays, one a batch and routing task. Sets that share keys form candidate clusters (connected components of shared keys).
    Of equal sets one stands for all from here on, and clusters of one such class have nothing to join.
+   Unlike sets share a key now and then, and the more documents there are, the longer are the chains of them: so the sets of larger
+   clusters send their keys once more, with counts of their shingles by bucket. The counts of two sets differ in no more than the
+   sets do, so only pairs whose counts are near enough stay together, and texts that link with nothing are not moved.
 3. Join: each cluster is gathered once and joined by a signature tree: nodes hold OR-combined token bitmaps, size ranges
    and the largest number of bitmap collisions. A dual traversal prunes pairs of nodes by the largest overlap possible between
    them, and pairs of nodes that already are one component; what remains is compared exactly. Before that, a few central sets
@@ -56,6 +59,9 @@ PART_TOKENS = 6_000_000
 #: for routing of bounded size; any set of flags gives the same result.
 HEAVY_BATCH, HEAVY_KEPT, HEAVY_SLOTS, HEAVY_STEPS = 3, 400_000, 1 << 23, 1 << 16
 KEY_BITS = 56  # of a routing key that are sent; keys that agree in these alone only bring unlike sets together
+#: Clusters of more sets than this are told apart by counts; pairs that are compared for one key and in one task at most (beyond that, sets
+#: that share a key stay together); bytes compared at once.
+CLOSE_ROWS, KEY_PAIRS, TASK_PAIRS, COMPARED = 50, 2_000_000, 30_000_000, 16_000_000
 RICH = 1.5  # shingles a part that are not common, for a set to be cut without the common ones
 
 
@@ -273,6 +279,155 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
+def counts(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by bucket; the number of buckets follows that of the tokens. Wide counts are folded for a comparison with narrow ones."""
+    width = width_of(len(tokens))
+    return np.minimum(np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+
+
+def width_of(n: int) -> int:
+    return max(16, 1 << (n // 6).bit_length())
+
+
+def _route_counted(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy_bits, parts: int) -> Iterator[pa.RecordBatch]:
+    """As _route(), but each set sends its own keys, and once a routing task its size and counts: (part, first, keys, nodes, ids, sizes, counts).
+
+    A size of 0 stands for an id with several sets, of which no counts are told."""
+    heavy = np.unpackbits(np.frombuffer(heavy_bits.value, np.uint8)).astype(bool)
+    found: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    own: dict[int, np.ndarray] = {}
+    size: dict[int, int] = {}
+
+    def made() -> pa.RecordBatch:
+        out = packed(np.concatenate(found), np.concatenate(nodes), parts)
+        columns = []
+        for i in range(out.num_rows):
+            ids = np.unique(unpacked(out.slice(i, 1))[1])
+            told = np.concatenate([own[x] for x in ids.tolist()])
+            columns.append((_bytes(ids), _bytes(np.array([size[x] for x in ids.tolist()])), zstandard.compress(told, 1)))
+        for kept in (found, nodes, own, size):
+            kept.clear()
+        names = ["ids", "sizes", "counts"]
+        columns = [pa.array(c, pa.binary()) for c in zip(*columns, strict=True)] or [pa.array([], pa.binary())] * 3
+        return pa.RecordBatch.from_arrays([*out.columns, *columns], [*out.schema.names, *names])
+
+    held = 0
+    for part in text_slices(batches):
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            tokens = shingles(text, n)
+            if doc is None or not len(tokens):
+                continue
+            told = counts(tokens)
+            if doc in own and not (size[doc] == len(tokens) and np.array_equal(own[doc], told)):
+                own[doc], size[doc] = told[:0], 0
+            elif doc not in own:
+                own[doc], size[doc] = told, len(tokens)
+            found.append(keys_of(tokens, percent, heavy))
+            nodes.append(np.full(len(found[-1]), doc, np.int64))
+            held += len(tokens)
+        if held > BATCH_TOKENS:
+            yield made()
+            held = 0
+    if found:
+        yield made()
+
+
+class Counted:
+    """Sets known by their sizes and counts alone."""
+
+    def __init__(self, size: np.ndarray, told: list[np.ndarray]) -> None:
+        self.size, self.width = size, np.array([len(x) for x in told])
+        self.row, self.rows = np.zeros(len(size), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.rows[w] = np.stack([told[i] for i in at.tolist()]) if w else None
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets of a pair may be linked; False is sure."""
+        out = np.ones(len(i), bool)
+        known = (self.size[i] > 0) & (self.size[j] > 0)
+        wide, narrow = np.where(self.width[i] >= self.width[j], i, j), np.where(self.width[i] >= self.width[j], j, i)
+        for w, v in np.unique(np.stack([self.width[wide[known]], self.width[narrow[known]]], 1), axis=0).tolist():
+            which = np.flatnonzero(known & (self.width[wide] == w) & (self.width[narrow] == v))
+            for at in np.array_split(which, max(1, len(which) * w // COMPARED)):
+                a, b = self.rows[w][self.row[wide[at]]], self.rows[v][self.row[narrow[at]]]
+                if w > v:
+                    a = a.reshape(len(at), -1, v).sum(1, dtype=np.int32)
+                differ = np.abs(np.subtract(a, b, dtype=np.int32 if w > v else np.int16)).sum(1, dtype=np.int64)
+                out[at] = differ * (100 + percent) <= (100 - percent) * (self.size[wide[at]] + self.size[narrow[at]])
+        return out
+
+
+def _meet_counted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """As _meet(), but only nodes whose counts are near enough, pair by pair."""
+    parts, told, size = [], {}, {}
+    for batch in batches:
+        parts.append(unpacked(batch))
+        for i in range(batch.num_rows):
+            ids, sizes = (_numbers(batch.column(c)[i].as_buffer()).view(np.int64).tolist() for c in ("ids", "sizes"))
+            every = np.frombuffer(zstandard.decompress(batch.column("counts")[i].as_buffer()), np.uint8)
+            at = 0
+            for x, n in zip(ids, sizes, strict=True):
+                own = every[at : at + (width_of(n) if n else 0)]
+                at += len(own)
+                if x in told and not (size[x] == n and np.array_equal(told[x], own)):
+                    own, n = own[:0], 0  # an id with several sets
+                told[x], size[x] = own, n
+    if not told:
+        return
+    key, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, node = np.unique(node, return_inverse=True)
+    sets = Counted(np.array([size[x] for x in names.tolist()]), [told[x] for x in names.tolist()])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    key, node = key[first], node[first]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(head, len(key)))
+    del parts, told, size, key, order, first
+    find, join = union_find(len(names))
+
+    def compared(i: np.ndarray, j: np.ndarray) -> None:
+        hold = sets.near(i, j, percent)
+        for x, y in zip(i[hold].tolist(), j[hold].tolist(), strict=True):
+            join(x, y)
+
+    # most keys are shared by a few sets
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in range(2, 9):
+        at = head[many == n]
+        pairs += [np.stack([node[at + x], node[at + y]], 1) for x in range(n) for y in range(x + 1, n)]
+    compared(*np.unique(np.concatenate(pairs), axis=0).T)
+    del pairs
+    left = TASK_PAIRS
+    by_size = np.flatnonzero(many > 8)
+    for g in by_size[np.argsort(many[by_size], kind="stable")].tolist():
+        own = node[head[g] : head[g] + many[g]]
+        root = np.array([find(x) for x in own.tolist()])
+        own = own[np.argsort(root, kind="stable")]
+        root = np.sort(root)
+        if root[0] == root[-1]:
+            continue
+        beyond = np.searchsorted(root, root, "right")  # where the sets of later components begin
+        pairs = int((len(own) - beyond).sum())
+        left -= pairs if pairs <= KEY_PAIRS else 0
+        if pairs > KEY_PAIRS or left < 0:
+            for x in own[1:].tolist():
+                join(int(own[0]), x)
+            continue
+        i = np.repeat(np.arange(len(own)), len(own) - beyond)
+        j = np.arange(pairs) - np.repeat(np.cumsum(len(own) - beyond) - len(own), len(own) - beyond)
+        compared(own[i], own[j])
+    roots = np.array([find(i) for i in range(len(names))])
+    moved = roots != np.arange(len(names))
+    edges = [pa.array(names[moved]), pa.array(names[roots[moved]])]
+    del sets, node
+    give_back()
+    yield pa.RecordBatch.from_arrays(edges, ["a", "b"])
+
+
 # ------------------------------------------------------------------ the signature tree
 
 
@@ -458,11 +613,13 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     clusters = components(met).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     # one id a class; clusters of one class are settled
     clusters = clusters.join(member, "id").select(F.col("node").alias("id"), "cluster").distinct()
-    extent = clusters.groupBy("cluster").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    clusters = cut(clusters.join(extent.select("cluster"), "cluster", "left_semi"))
+    extent = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    clusters = cut(clusters.join(extent, "cluster"))
     drop_shuffles(spark)
+    lengths = known.select("id", "n").distinct()
+    clusters = _told_apart(source, clusters, lengths, words, percent, heavy)
 
-    edges = _join_clusters(source, clusters, known.select("id", "n").distinct(), words, percent, block_rows, block_chars)
+    edges = _join_clusters(source, clusters, lengths, words, percent, block_rows, block_chars)
     # the links are between ids; classes of equal sets are tied by their smallest ids
     own = member.groupBy("id").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     ends = edges.join(own.select(F.col("id").alias("a"), F.col("node").alias("na")), "a").join(own.select(F.col("id").alias("b"), F.col("node").alias("nb")), "b")
@@ -473,6 +630,23 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
 
 
+def _told_apart(source: DataFrame, clusters: DataFrame, lengths: DataFrame, words: int, percent: int, heavy) -> DataFrame:
+    """clusters (id, cluster) of clusters (id, cluster, rows), the larger ones cut where no pair of sets with a key in common is near enough.
+    Sets that are left alone go."""
+    large = clusters.where(F.col("rows") > CLOSE_ROWS).select("id")
+    total = large.join(lengths, "id").agg(F.sum("n")).first()[0]
+    if not total:
+        return clusters.select("id", "cluster")
+    parts = 1 + total // PART_TOKENS
+    schema = "part int, first long, keys binary, nodes binary, ids binary, sizes binary, counts binary"
+    routed = sieve(source, large, "id")[0].mapInArrow(partial(_route_counted, n=words, percent=percent, heavy_bits=heavy, parts=parts), schema)
+    near = components(routed.repartitionById(parts, "part").mapInArrow(partial(_meet_counted, percent=percent), "a long, b long"))
+    near = near.join(large.distinct(), near["node"] == large["id"]).select("id", F.col("component").alias("cluster"))
+    told = cut(clusters.where(F.col("rows") <= CLOSE_ROWS).select("id", "cluster").unionByName(near))
+    drop_shuffles(source.sparkSession)
+    return told
+
+
 def _pairs_of_blocks(sets: DataFrame, percent: int, block_rows: int, block_chars: int) -> DataFrame:
     """sets (id, cluster, n, chars, ...) with the columns c, d, i, j of each pair of blocks that a set takes part in.
 

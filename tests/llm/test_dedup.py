@@ -155,6 +155,41 @@ def test_large_clusters_over_many_blocks(spark):
     assert made == brute_components(rows, 5, 80)
 
 
+def test_unlike_texts_that_share_passages_are_not_gathered(spark, monkeypatch):
+    """Keys of a passage that two unlike texts have in common tied 300 texts into one cluster, whose texts all moved."""
+    rng = np.random.default_rng(3)
+    pool = [" ".join(f"p{p}.{w}" for w in range(5)) for p in range(100)]
+    rows = [(i, " ".join(pool[p] for p in rng.choice(100, 8, replace=False))) for i in range(300)]
+    rows += [(400 + i, rows[i][1] + " tail") for i in range(0, 60, 3)] + [(7, rows[7][1] + " tail"), (7, "nothing like it"), (500, "nothing like it at all")]
+    gathered, inner = [], ngram_join._join_clusters
+
+    def spy(source, clusters, *rest):
+        gathered.extend(r["count"] for r in clusters.groupBy("cluster").count().collect())
+        return inner(source, clusters, *rest)
+
+    monkeypatch.setattr(ngram_join, "_join_clusters", spy)
+    monkeypatch.setattr(ngram_join, "CLOSE_ROWS", 1)
+    made = {r.doc_id: r.component_id for r in ngram_join.similar_components(table(spark, rows), 5, 80).collect()}
+    assert sum(gathered) < 80 and max(gathered) < 10
+    whole = {i: c for i, (_, c) in brute_components([r for r in rows if r[0] != 7 or r is rows[7]], 5, 80).items()}
+    assert made == whole
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_counts_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets, pairs = [], []
+    for n in (1, 5, 30, 95, 97, 400, 5000):
+        base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for keep in (1.0, 0.95, 0.9, percent / 100, 0.3):
+            more = rng.integers(0, 2**64, rng.integers(0, 2 + n // 6), np.uint64)
+            sets.append(np.unique(np.append(base[rng.random(len(base)) < keep], more)))
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(len(sets)) if i < j])
+    made = ngram_join.Counted(np.array([len(s) for s in sets]), [ngram_join.counts(s) for s in sets]).near(*pairs.T, percent)
+    linked = np.array([len(sets[i]) > 0 and len(sets[j]) > 0 and ngram_join.similar(sets[i], sets[j], percent) for i, j in pairs])
+    assert linked.any() and made[linked].all() and not made.all()
+
+
 def test_shingles_by_definition():
     text = "One two\tTHREE four five six"
     words = text.lower().split()  # the no-break space is no separator here
