@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import give_back, mix64, slices, text_slices
+from quantpanel.llm.common import forget, give_back, mix64, slices, text_slices
 from quantpanel.session import ship_package
 
 #: Parameters of the model: labelled rows a language that it learns from, n-grams a language that its filter holds.
@@ -132,6 +132,7 @@ def fit(seen: dict[str, tuple[np.ndarray, np.ndarray]], most_grams: int = GRAMS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for part in text_slices(batches):
         texts: dict[str, list[str]] = {}
         for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -181,6 +182,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("lang_pred string, score double")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for texts in batches:
             langs: list[str] = []
             scores: list[float] = []

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, drop_shuffles, give_back, mix64, remove, sieve, stored, text_slices, union_find
+from quantpanel.llm.common import cut, drop_shuffles, forget, give_back, mix64, remove, sieve, stored, text_slices, union_find
 from quantpanel.llm.components import components
 from quantpanel.session import ship_package
 
@@ -144,6 +144,7 @@ def _signed(x: int) -> int:
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of each document (id, n, s0, s1, doc true); of each shingle that several sets share (null, sets, shingle, 0, false), counted
     over some thousand documents at a time."""
+    forget()
     every: list[np.ndarray] = []
 
     def shared() -> Iterator[pa.RecordBatch]:

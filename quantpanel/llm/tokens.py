@@ -14,6 +14,8 @@ from itertools import filterfalse
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from quantpanel.llm.common import CLEARED
+
 CACHE_PIECES = 500_000
 #: A word and ASCII marks behind it, which the tokenizer takes apart; an apostrophe may begin an ending instead.
 WORD_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
@@ -114,3 +116,6 @@ class WordEncoder:
 def word_encoder(path: str, mark: tuple[str, int]) -> WordEncoder:
     """One a Python worker."""
     return WordEncoder(path, mark)
+
+
+CLEARED.append(word_encoder.cache_clear)

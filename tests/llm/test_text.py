@@ -845,3 +845,17 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
     assert len(pieces) >= 4 and all(r.length <= 4096 for r in pieces)
     assert corpus_pipeline.STAGES[-1][1](spark, odd.where("false"), str(tmp_path)).count() == 0
+
+
+def test_other_operators_caches_go():
+    """A worker that had packed kept its encoder's pieces while it judged languages."""
+    import public_tokenizers
+
+    from quantpanel.llm import common, tokens
+
+    mark = ("<|endoftext|>", 1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = tokens.word_encoder(path, mark)
+    assert tokens.word_encoder(path, mark) is first
+    common.forget()
+    assert tokens.word_encoder(path, mark) is not first
